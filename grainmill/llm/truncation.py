@@ -22,15 +22,15 @@ from grainmill.llm.residue import ResidueModel, fit_residue
 from grainmill.operators.skew import join_dictionary
 from grainmill.runtime import broadcast_if_few, stage
 
-#: A length counts as a spike if it is this much likelier than the lengths around it, with so many texts at least.
-SPIKE, SPIKE_TEXTS, AROUND, SHORTEST = 5.0, 4, 30, 120
+#: A length counts as a spike if it is this much likelier than the lengths around it, with so many texts and such a share of its source at least.
+SPIKE, SPIKE_TEXTS, SPIKE_SHARE, AROUND, SHORTEST = 5.0, 4, 0.003, 30, 120
 #: An open end counts as whole if it is at least this share of the segments that go on from it, and occurs so often.
 WHOLE_SHARE, WHOLE_TIMES = 0.015, 3
 #: A sentence that ends fewer than this share of its paragraphs does not end a text at a spike.
 LAST_SHARE = 0.03
 
-MARK = re.compile(r"\s*(?:\[(?:\.\.\.|…|truncated|more|cut)\]|\((?:more|truncated|cont(?:inued|\.)?|\.\.\.|…)\)|(?:\.\.\.|…)\s*(?:\[truncated\]|\(truncated\)|\[more\]|\(more\)|read more|more)?|read more)\s*$", re.I)
-_SURE_MARK = re.compile(r"\[[^\]]*\]\s*$|\([^)]*\)\s*$|more\s*$", re.I)
+MARK = re.compile(r"\s*(?:\ufffd+|&#?\w{0,6}|</?[a-z][^<>]{0,40}|&hellip;|&#8230;|\[(?:\.\.\.|…|truncated|more|cut)\]|\((?:more|truncated|cont(?:inued|\.)?|\.\.\.|…)\)|(?:\.\.\.|…)\s*(?:\[truncated\]|\(truncated\)|\[more\]|\(more\)|read more|more)?|read more)\s*$", re.I)
+_SURE_MARK = re.compile(r"\ufffd$|&#?\w{0,6}$|</?[a-z][^<>]*$|\[[^\]]*\]\s*$|\([^)]*\)\s*$|more\s*$", re.I)
 _ENDED = re.compile(r"[.!?:;。！？]['\"”’)\]»]*\s*$")
 _SEGMENT = re.compile(r"(?<=[.!?])['\"”’)]*\s+|\n+")
 _TAIL = re.compile(r"[.!?;:,…]+['\"”’)]*$")
@@ -72,13 +72,17 @@ def length_spikes(texts: DataFrame) -> DataFrame:
     """(record_table, source_name, unit, length): lengths at which texts of a source pile up.
 
     `unit` is "chars" or "bytes". The histogram has one row per source and length; a length is
-    a spike if it holds SPIKE times the mean of the lengths within AROUND of it.
+    a spike if it holds SPIKE times the mean of the lengths within AROUND of it. A field has one
+    limit: of several spikes of a source and unit the highest counts.
     """
     lengths = texts.select("record_table", "source_name", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length("text").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("length")))).alias("x"))
     histogram = lengths.groupBy("record_table", "source_name", "x.unit", "x.length").agg(F.count("*").alias("n")).where(F.col("length") >= SHORTEST)
-    near = Window.partitionBy("record_table", "source_name", "unit").orderBy("length").rangeBetween(-AROUND, AROUND)
-    rest = (F.sum("n").over(near) - F.col("n")) / (2.0 * AROUND)
-    return histogram.withColumn("rest", rest).where((F.col("n") >= SPIKE_TEXTS) & (F.col("n") >= SPIKE * F.greatest("rest", F.lit(0.2)))).select("record_table", "source_name", "unit", "length", "n")
+    source = Window.partitionBy("record_table", "source_name", "unit")
+    rest = (F.sum("n").over(source.orderBy("length").rangeBetween(-AROUND, AROUND)) - F.col("n")) / (2.0 * AROUND)
+    rows = histogram.withColumns({"rest": rest, "all": F.sum("n").over(source)})
+    rows = rows.where((F.col("n") >= SPIKE_TEXTS) & (F.col("n") >= SPIKE_SHARE * F.col("all")) & (F.col("n") >= SPIKE * F.greatest("rest", F.lit(0.2))))
+    top = rows.groupBy("record_table", "source_name", "unit").agg(F.max_by("length", F.struct("n", "length")).alias("length"), F.max("n").alias("n"))
+    return top.select("record_table", "source_name", "unit", "length", "n")
 
 
 def ending_counts(texts: DataFrame) -> DataFrame:
@@ -111,11 +115,19 @@ def ending_counts(texts: DataFrame) -> DataFrame:
 
 
 def continuations(counts: DataFrame) -> DataFrame:
-    """(skeleton, goes_on): over all distinct segments, how often the words of an open end are followed by more."""
+    """(skeleton, goes_on): how often the letters of an open end are followed by more, over all segments.
+
+    Every distinct segment gives, for each of its words, the words before it, the word, and
+    how often the segment ends there; an open end meets those with the same words before its
+    own last one, which may be the beginning of a longer word.
+    """
     words = counts.select(F.split("skeleton", " ").alias("w"), (F.col("whole") + F.col("open")).alias("n"))
-    heads = words.where(F.size("w") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice("w", 1, i), " "))).alias("skeleton"), "n")
-    wanted = counts.where("open > 0").select("skeleton")
-    return heads.join(wanted, "skeleton", "left_semi").groupBy("skeleton").agg(F.sum("n").alias("goes_on"))
+    steps = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.struct(F.array_join(F.slice("w", 1, i - 1), " ").alias("head"), F.element_at("w", i).alias("next"), (i == F.size("w")).alias("final")))).alias("s"), "n")
+    steps = steps.groupBy("s.head", "s.next").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("s.final"), F.col("n")).otherwise(0)).alias("n_final"))
+    ends = counts.where("open > 0").select("skeleton", F.regexp_extract("skeleton", r"^(?:(.*) )?[^ ]*$", 1).alias("head"), F.regexp_extract("skeleton", r"([^ ]*)$", 1).alias("part"))
+    letter = lambda c: F.substring(c, 1, 1)
+    met = ends.withColumn("letter", letter("part")).join(steps.withColumn("letter", letter("next")), ["head", "letter"]).where(F.col("next").startswith(F.col("part")))
+    return met.groupBy("skeleton").agg(F.sum(F.when(F.col("next") == F.col("part"), F.col("n") - F.col("n_final")).otherwise(F.col("n"))).alias("goes_on"))
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -177,12 +189,15 @@ def cut_descriptions(texts: DataFrame, residue: ResidueModel) -> DataFrame:
     last_words = ends.groupBy("word").agg(F.count("*").alias("gm_n"))
     uses = stage(last_words.join(word_counts(texts), "word", "left").fillna(0, ["uses"]), "last-words")
     ends = join_dictionary(ends, uses, ["word"], "gm_n")
-    whole = F.col("is_title") | (F.col("whole") >= 2) | ((F.col("open") >= WHOLE_TIMES) & (F.col("open") >= WHOLE_SHARE * F.col("goes_on")))
+    often = F.greatest(F.col("whole"), F.when(F.col("open") >= WHOLE_TIMES, F.col("open")).otherwise(0))
+    whole = F.col("is_title") | ((often >= 2) & (often >= WHOLE_SHARE * F.col("goes_on")))
+    # words before a bare ellipsis stand alone only if they seldom go on
+    alone = F.col("is_title") | ((often >= 2) & (often >= F.col("goes_on")))
     torn = (F.col("word") != "") & (F.col("uses") < 1) & ~F.col("is_title") & (F.col("open") < WHOLE_TIMES)
     cut = (
         F.when(F.col("mark") == 2, F.lit(True))
-        .when((F.col("mark") == 1) & (F.col("skeleton") == ""), F.lit(False))
-        .when(F.col("ended"), F.col("spike") & (F.col("mark") == 0) & (F.col("whole") >= 20) & (F.col("last") < LAST_SHARE * F.col("whole")) | (F.col("mark") == 1))
+        .when(F.col("mark") == 1, ~alone | F.col("ended") | torn)
+        .when(F.col("ended"), F.col("spike") & (F.col("whole") >= 20) & (F.col("last") < LAST_SHARE * F.col("whole")))
         .when(F.col("is_title"), F.lit(False))
         .when(F.col("spike"), F.lit(True))
         .otherwise(~whole | torn)

@@ -235,7 +235,7 @@ def furniture_lines(texts: DataFrame, lines: LineModel, residue: ResidueModel, k
                 keys += [k] * len(hit)
                 fields += [field] * len(hit)
                 numbers += hit
-            yield pd.DataFrame({"gm_key": keys, "field": fields, "line_no": np.array(numbers, dtype=np.int64)})
+            yield pd.DataFrame({"gm_key": pd.Series(keys, dtype=object), "field": pd.Series(fields, dtype=object), "line_no": np.array(numbers, dtype=np.int64)})
 
     rows = texts.select(F.col(key).alias("gm_key"), "title", "field", "kind", "text")
     kind = rows.schema["gm_key"].dataType.simpleString()

@@ -24,6 +24,10 @@ from grainmill.runtime import broadcast_if_few
 WINDOW = 12
 #: The least piece as a share of the room for new tokens.
 LEAST = 0.25
+#: Most tokens of one letter, and the smallest limit that leaves room for an overlap and a letter.
+LETTER, SMALLEST = 4, 16
+#: A part of fewer pieces is counted as a whole.
+NEAR = 16
 _ENDS = regex.compile(r"[.!?…。！？][\"'”’)\]]*$")
 _CLAUSE = regex.compile(r"[,;:–—][\"'”’)\]]*$")
 PIECE = "piece int, start_token bigint, end_token bigint, n_tokens bigint, shared_tokens bigint, text string"
@@ -74,7 +78,7 @@ def landmarks(ids: np.ndarray, room: int) -> list[int]:
     return (np.flatnonzero(mixed == 0) + 1).tolist()
 
 
-def cuts(pieces: list[str], ends: np.ndarray, ids: np.ndarray, room: int, first_room: int) -> list[int]:
+def cuts(pieces: list[str], ends: np.ndarray, ids: np.ndarray, room: int, first_room: int, first_least: int = 1) -> list[int]:
     """Token positions at which new pieces begin; each part but the first holds at most `room` new tokens."""
     total = int(ends[-1])
     level = boundary_levels(pieces)
@@ -82,7 +86,7 @@ def cuts(pieces: list[str], ends: np.ndarray, ids: np.ndarray, room: int, first_
     marks = landmarks(ids, room)
     out, at, space = [], 0, first_room
     while total - at > space:
-        low, high = at + max(1, int(space * LEAST)), at + space
+        low, high = at + min(space, max(LETTER, int(space * LEAST), 0 if out else first_least)), at + space
         i = bisect_left(marks, low)
         aim = marks[i] if i < len(marks) and marks[i] <= high else high
         best = None
@@ -119,45 +123,50 @@ def split_text(enc: Encoder, text: str, limit: int, overlap: int) -> list[tuple[
     A text within the limit is one piece. No piece has more than `limit` tokens, neither as
     part of the whole encoding nor encoded by itself; each but the first begins `overlap`
     tokens before the end of the one before (a few more where that falls within a letter).
-    An overlap too large for the limit is cut to half of it.
+    An overlap too large for the limit is cut to half of it; limits below SMALLEST count as that.
     """
-    limit = max(8, limit)
+    limit = max(SMALLEST, limit)
     overlap = max(0, min(overlap, limit // 2))
     pieces = enc.split(text)
     packed = [enc.cache[p] for p in pieces]
     ids = np.frombuffer(b"".join(packed), np.int32)
     if len(ids) <= limit:
         return [(0, len(ids), len(ids), 0, text)]
-    slack = 4 if overlap else 0
+    slack = LETTER if overlap else 0
     ends = np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)) // 4)
     width = np.concatenate([[0], np.cumsum(enc.lengths[ids])])
     data, out = text.encode("utf-8", "surrogatepass"), []
-    stops = [*(_whole_letter(enc, ids, c, True) for c in cuts(pieces, ends, ids, limit - overlap - slack, limit)), len(ids)]
+    stops = [*(_whole_letter(enc, ids, c, True) for c in cuts(pieces, ends, ids, max(1, limit - overlap - slack), limit, overlap + LETTER)), len(ids)]
 
     def recount(a: int, z: int) -> int:
         return enc.count(data[width[a] : width[z]].decode("utf-8", "surrogatepass")) - (z - a)
 
     def by_itself(start: int, stop: int) -> int:
         """Tokens of a part encoded alone; only its first and last pieces can differ from the whole."""
-        n, i = stop - start, int(np.searchsorted(ends, start))
+        n, i, j = stop - start, int(np.searchsorted(ends, start)), int(np.searchsorted(ends, stop))
+        if j - i < NEAR:
+            return n + recount(start, stop)
         if start and int(ends[i]) != start:
             h = min(i + 3, len(ends) - 1)
             while h + 1 < len(ends) and pieces[h].isspace():
                 h += 1
             n += recount(start, min(int(ends[h]), stop))
-        j = int(np.searchsorted(ends, stop))
         if stop < len(ids) and pieces[j].isspace():  # spaces at the end of a text form one piece
             while j > 0 and pieces[j - 1].isspace():
                 j -= 1
             n += recount(max(start, int(ends[j - 1]) if j else 0), stop)
         return n
 
-    for stop in stops:
-        before = out[-1][1] if out else 0
-        start = _whole_letter(enc, ids, before - overlap, True) if out else 0
-        while by_itself(start, stop) > limit and start < before:
+    stops.reverse()
+    while stops:
+        stop, before = stops.pop(), out[-1][1] if out else 0
+        start = _whole_letter(enc, ids, max(0, before - overlap), True) if out else 0
+        while (n := by_itself(start, stop)) > limit and start < before:
             start = _whole_letter(enc, ids, min(before, start + 1), False)
-        out.append((start, stop, by_itself(start, stop), before - start, data[width[start] : width[stop]].decode("utf-8", "surrogatepass")))
+        if n > limit and stop - before > LETTER:  # alone it counts more than within the text: cut earlier
+            stops += [stop, _whole_letter(enc, ids, stop - 1, True)]
+            continue
+        out.append((start, stop, n, before - start, data[width[start] : width[stop]].decode("utf-8", "surrogatepass")))
     return out
 
 

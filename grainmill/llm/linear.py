@@ -62,10 +62,10 @@ class Softmax:
         return z / z.sum()
 
 
-def fit(items: list[list[str]], labels: list[int], classes: int, passes: int = 6, batch: int = 512, rate: float = 0.5, decay: float = 1e-5, seed: int = 7) -> Softmax:
+def fit(items: list[list[str]], labels: list[int], classes: int, passes: int = 5, batch: int = 512, rate: float = 0.5, decay: float = 1e-5, seed: int = 7) -> Softmax:
     """Fit by adaptive gradient steps with weight decay; classes count alike however rare they are.
 
-    The result depends on the items and the seed only. Without items, or with items of one
+    A pass takes at least about 60 steps, so that small samples are learned as well. The result depends on the items and the seed only. Without items, or with items of one
     class, the classifier returns that class's prior.
     """
     weights, seen = np.zeros((1 << BITS, classes), np.float32), np.full((1 << BITS, classes), 1e-3, np.float32)
@@ -74,10 +74,10 @@ def fit(items: list[list[str]], labels: list[int], classes: int, passes: int = 6
     y = np.array(labels)
     share = np.bincount(y, minlength=classes).astype(np.float64)
     cost = np.where(share > 0, len(y) / (np.maximum(share, 1) * (share > 0).sum()), 0.0)
-    cost = np.sqrt(cost)
+    cost = cost**0.75
     slots = [np.array([_slot(f) for f in x], np.int64) for x in items]
     scale = np.array([1 / math.sqrt(len(x) or 1) for x in items], np.float32)
-    order = np.random.default_rng(seed)
+    order, batch = np.random.default_rng(seed), min(batch, max(16, len(items) // 60))
     for _ in range(passes):
         for part in np.array_split(order.permutation(len(items)), max(1, len(items) // batch)):
             flat = np.concatenate([slots[i] for i in part])

@@ -23,12 +23,18 @@ from grainmill.llm.pages import page_texts, title_key, without_tags
 from grainmill.runtime import stage
 
 #: Labelled texts per class that the classifier is fitted to (a bound on the sample).
-SAMPLE = 3000
+SAMPLE = 1500
 #: Texts looked at for each that is wanted.
-SIEVE = 40
+SIEVE = 30
+#: Fine texts learned from for each case.
+FINE_PER_CASE = 5
 FINE, RESIDUE, VOID = 0, 1, 2
 #: Scores from which a sentence is a candidate, and the share of void text that makes a case.
-CANDIDATE, MOSTLY = 0.05, 0.6
+CANDIDATE, MOSTLY = 0.05, 0.55
+#: Score of void text from which a phrase in the sentence settles it.
+DOUBT = 0.2
+#: Length of a fine sentence that says something, and the share of void text that outweighs it.
+SAYS, NEARLY_ALL = 45, 0.85
 
 #: Placeholders that no reader should see (fixed patterns).
 PLACEHOLDERS = (
@@ -68,6 +74,17 @@ PLACEHOLDERS = (
     r"\$0,000(?:\.00)?",
 )
 _PLACEHOLDER = re.compile("|".join(PLACEHOLDERS))
+#: Where a placeholder can begin: looked for first, since it is much cheaper.
+_BEGINS = re.compile(r"[{\[(<%*@~_#?$&]")
+_WORDS = ("undefined", "NaN", "XX/", "mm/dd", "dd/mm", "000-000")
+
+
+def has_placeholder(text: str) -> bool:
+    """Whether an unfilled placeholder stands anywhere in a text."""
+    if any(_PLACEHOLDER.match(text, m.start()) for m in _BEGINS.finditer(text)):
+        return True
+    return any(w in text for w in _WORDS) and _PLACEHOLDER.search(text) is not None
+
 
 #: Phrases that stand where a text is missing, failed or waits for scripts (weak labels).
 STUBS = r"(?:goes here|coming soon|will follow|to be (?:added|supplied|written|completed)|(?:- )?replace before publishing|draft, do not publish|max \d+ sentences|needed from program staff)\b|^\W*(?:todo|tbd)\b|placeholder|add your content|edit this text block|text block|lorem|ipsum|dummy|do not remove|(?:text|copy|description|summary|overview|paragraph) pending"
@@ -82,6 +99,18 @@ SCRIPTS = (
     r"|browser (?:version )?(?:is not|does not)|^\W*loading\b|please wait|checking your browser|prove that you are"
 )
 _VOID_WORDS = re.compile(f"(?i:{STUBS}|{ERRORS}|{SCRIPTS})", re.M)
+#: One of these stands in every void phrase; a cheap test before the patterns.
+_HINTS = tuple(
+    "here|soon|follow|to be |replace|draft|max |needed|todo|tbd|placeholder|your content|text block|lorem|ipsum|dummy|do not remove|pending|error|forbidden|found|gone|gateway|unavailable|unauthorized|requests|denied|timeout|"
+    "<h1>|not |exist|cannot|moved|deleted|removed|taken down|expired|reach|load|wrong|fatal|uncaught|timed|time out|disconnect|traceback|exception|sql|stack trace|rate limit|blocked|maintenance|being built|temporarily|encontrada|servidor|denegado|intente|script|js|active content|browser|please wait|prove that".split("|")
+)
+
+
+def is_void_phrase(text: str) -> bool:
+    """Whether a phrase stands in a text that takes the place of content."""
+    low = text.lower()
+    return any(h in low for h in _HINTS) and _VOID_WORDS.search(text) is not None
+
 _SAME = re.compile(r"(?i)^\W*(\w+)(?:\W+\w+)?(?:\W+\1(?:\W+\w+)?)*\W*$")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 #: Longest text that a void phrase labels as void by itself.
@@ -101,14 +130,14 @@ def repeated_words(text: str) -> bool:
 
 def weak_label(text: str, title: str, kind: str) -> int | None:
     """The class that phrases and status lines suggest for a text; None if nothing does."""
-    if _PLACEHOLDER.search(text):
+    if has_placeholder(text):
         return RESIDUE
     own = title_key(title)
     parts = [x for x in sentences_of(text, kind) if title_key(x) != own]
     if not parts:
         return FINE
     total = sum(map(len, parts))
-    void = sum(len(x) for x in parts if _VOID_WORDS.search(x) or repeated_words(x) or x.lower().count("ipsum") > 1)
+    void = sum(len(x) for x in parts if is_void_phrase(x) or repeated_words(x) or x.lower().count("ipsum") > 1)
     if void >= 0.4 * total and total <= SHORT or void >= 0.8 * total:
         return VOID
     return FINE if void <= 0.2 * total and total > 60 else None
@@ -145,17 +174,19 @@ class ResidueModel:
         """Whether a text holds residue or is void. Blank texts and bare titles are neither."""
         parts = sentences_of(text, kind)
         own = title_key(title)
-        size, residue, void, total = sum(map(len, parts)), 0.0, 0, 0
+        size, residue, void, total, plain = sum(map(len, parts)), 0.0, 0, 0, 0
         for s in parts:
             is_title = bool(own) and title_key(s) == own
             r, v = self.score(s, is_title, size, len(parts))
             residue = max(residue, r)
             if not is_title:
                 total += len(s)
-                void += len(s) * (v >= 0.5)
-        if residue >= CANDIDATE and _PLACEHOLDER.search(text):
+                plain = max(plain, len(s) * (v < DOUBT))
+                void += len(s) * (v >= 0.5 or (v >= DOUBT and (is_void_phrase(s) or repeated_words(s))))
+        if residue >= CANDIDATE and has_placeholder(text):
             return True
-        return bool(total) and void >= MOSTLY * total
+        # one sentence that surely says something keeps a text, unless hardly anything else is there
+        return bool(total) and void >= (MOSTLY if plain < SAYS else NEARLY_ALL) * total
 
 
 def labelled_sample(texts: DataFrame, most: int = SAMPLE) -> pd.DataFrame:
@@ -168,14 +199,18 @@ def labelled_sample(texts: DataFrame, most: int = SAMPLE) -> pd.DataFrame:
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [weak_label(t, title, k) for t, title, k in zip(b.text, b.title, b.kind)]
-            yield b.assign(label=pd.array(got, dtype="Int32"))[["host", "title", "kind", "text", "label", "h"]]
+            kept = pd.Series(got, index=b.index, dtype=object).notna()
+            yield b[kept].astype({c: object for c in ("host", "title", "kind", "text")}).assign(label=[x for x in got if x is not None])[["host", "title", "kind", "text", "label", "h"]]
 
     rate = min(1.0, SIEVE * most / max(1, texts.count()))
     rows = texts.where(F.length("text") < 20_000).withColumn("h", F.xxhash64("host", "title", "text"))
     rows = rows.where(F.pmod("h", F.lit(1_000_000)) < F.lit(round(rate * 1_000_000)))
-    rows = stage(rows.select("host", "title", "kind", "text", "h").mapInPandas(label, "host string, title string, kind string, text string, label int, h bigint").where("label is not null"), "labelled")
+    rows = stage(rows.select("host", "title", "kind", "text", "h").mapInPandas(label, "host string, title string, kind string, text string, label int, h bigint"), "labelled")
     parts = [rows.where(F.col("label") == c).orderBy("h").limit(most) for c in (FINE, RESIDUE, VOID)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).toPandas()
+    got = parts[0].unionByName(parts[1]).unionByName(parts[2]).toPandas()
+    # where cases are rare, so many fine texts would drown them
+    fine = got[got["label"] == FINE].nsmallest(max(200, FINE_PER_CASE * int((got["label"] != FINE).sum())), "h")
+    return pd.concat([fine, got[got["label"] != FINE]])
 
 
 def training_items(sample: pd.DataFrame) -> tuple[list[list[str]], list[int]]:
@@ -187,7 +222,7 @@ def training_items(sample: pd.DataFrame) -> tuple[list[list[str]], list[int]]:
         for s in parts:
             is_title = bool(own) and title_key(s) == own
             if label == RESIDUE:
-                y = RESIDUE if _PLACEHOLDER.search(s) else FINE
+                y = RESIDUE if has_placeholder(s) else FINE
             else:
                 y = FINE if is_title else label
             items.append(_features(s, is_title, size, len(parts)))
@@ -237,7 +272,7 @@ def residue_cases(texts: DataFrame, model: ResidueModel, key: str = "grant_id")
         local = ResidueModel(Softmax(weights.value))
         for b in batches:
             hit = [local.is_case(t, title, k) for t, title, k in zip(b.text, b.title, b.kind)]
-            yield b.loc[hit, ["gm_key", "field"]]
+            yield b.loc[hit, ["gm_key", "field"]].astype(object)
 
     rows = texts.select(F.col(key).alias("gm_key"), "title", "field", "kind", "text")
     kind = rows.schema["gm_key"].dataType.simpleString()

@@ -29,8 +29,8 @@ WHOLE_SHARE, WHOLE_TIMES = 0.015, 3
 #: A sentence that ends fewer than this share of its paragraphs does not end a text at a spike.
 LAST_SHARE = 0.03
 
-MARK = re.compile(r"\s*(?:\ufffd+|&#?\w{0,6}|</?[a-z][^<>]{0,40}|&hellip;|&#8230;|\[(?:\.\.\.|…|truncated|more|cut)\]|\((?:more|truncated|cont(?:inued|\.)?|\.\.\.|…)\)|(?:\.\.\.|…)\s*(?:\[truncated\]|\(truncated\)|\[more\]|\(more\)|read more|more)?|read more)\s*$", re.I)
-_SURE_MARK = re.compile(r"\ufffd$|&#?\w{0,6}$|</?[a-z][^<>]*$|\[[^\]]*\]\s*$|\([^)]*\)\s*$|more\s*$", re.I)
+MARK = re.compile(r"\s*(?:\ufffd+|(?:%[0-9A-Fa-f]{2})+%?[0-9A-Fa-f]?|&#?\w{0,6}|</?[a-z][^<>]{0,40}|&hellip;|&#8230;|\[(?:\.\.\.|…|truncated|more|cut)\]|\((?:more|truncated|cont(?:inued|\.)?|\.\.\.|…)\)|(?:\.\.\.|…)\s*(?:\[truncated\]|\(truncated\)|\[more\]|\(more\)|read more|more)?|read more)\s*$", re.I)
+_SURE_MARK = re.compile(r"\ufffd$|%[0-9A-Fa-f]{1,2}$|&#?\w{0,6}$|</?[a-z][^<>]*$|\[[^\]]*\]\s*$|\([^)]*\)\s*$|more\s*$", re.I)
 _ENDED = re.compile(r"[.!?:;。！？]['\"”’)\]»]*\s*$")
 _SEGMENT = re.compile(r"(?<=[.!?])['\"”’)]*\s+|\n+")
 _TAIL = re.compile(r"[.!?;:,…]+['\"”’)]*$")
@@ -57,8 +57,9 @@ def segments(text: str) -> list[tuple[str, bool]]:
 
 def last_segment(text: str) -> str:
     """What follows the last sentence end or line break."""
-    got = segments(text)
-    return got[-1][0] if got else ""
+    line = text.rstrip()
+    line = line[line.rfind("\n") + 1 :].strip()
+    return next((p for p in reversed(re.split(r"(?<=[.!?])\s+", line)) if p), "")
 
 
 def descriptions(grants: DataFrame, raw_grants: DataFrame) -> DataFrame:
@@ -94,21 +95,26 @@ def ending_counts(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            whole, last, loose = Counter(), Counter(), Counter()
+            inner, last, loose = Counter(), Counter(), Counter()
             for text in b.text:
                 got = segments(text)
-                for i, (s, ends) in enumerate(got):
-                    k = skeleton(s)
-                    if i == len(got) - 1 and not _ENDED.search(s):
-                        loose[k] += 1
-                        continue
-                    if i == len(got) - 1 and MARK.search(s):
-                        loose[skeleton(MARK.sub("", s))] += 1
-                        continue
-                    whole[k] += 1
-                    last[k] += ends
-            keys = list(whole.keys() | loose.keys())
-            yield pd.DataFrame({"skeleton": keys, "whole": [whole[k] for k in keys], "last": [last[k] for k in keys], "open": [loose[k] for k in keys]})
+                if not got:
+                    continue
+                end, _ = got.pop()
+                if not _ENDED.search(end):
+                    loose[end] += 1
+                elif MARK.search(end):
+                    loose[MARK.sub("", end)] += 1
+                else:
+                    last[end] += 1
+                inner.update(s for s, ends in got if not ends)
+                last.update(s for s, ends in got if ends)
+            rows: dict[str, list[int]] = {}
+            # skeletons are made once per distinct segment
+            for at, counter in enumerate((inner, last, loose)):
+                for s, n in counter.items():
+                    rows.setdefault(skeleton(s), [0, 0, 0])[at] += n
+            yield pd.DataFrame({"skeleton": list(rows), "whole": [a + z for a, z, _ in rows.values()], "last": [z for _, z, _ in rows.values()], "open": [o for _, _, o in rows.values()]})
 
     counted = texts.select("text").mapInPandas(run, "skeleton string, whole bigint, last bigint, open bigint")
     return counted.groupBy("skeleton").agg(F.sum("whole").alias("whole"), F.sum("last").alias("last"), F.sum("open").alias("open"))
@@ -143,42 +149,55 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInPandas(run, "word string, uses bigint").groupBy("word").agg(F.sum("uses").alias("uses"))
 
 
-def _ends(texts: DataFrame, residue: ResidueModel) -> DataFrame:
-    """How each text ends: mark, punctuation, skeleton and last word; cases of residue drop out."""
-    weights = texts.sparkSession.sparkContext.broadcast(residue.classifier.weights)
+def _ends(texts: DataFrame) -> DataFrame:
+    """How each text that is not blank ends: mark, punctuation, skeleton and last word."""
     columns = ["record_table", "record_id", "source_name", "chars", "bytes", "mark", "ended", "skeleton", "word", "is_title"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = ResidueModel(Softmax(weights.value))
         for b in batches:
             out = []
             for table, record, source, title, text in b.itertuples(index=False, name=None):
                 plain = text.rstrip()
-                if not plain or model.is_case(text, title, "text"):
+                if not plain:
                     continue
-                found = MARK.search(plain)
+                found = MARK.search(plain, max(0, len(plain) - 80))
                 mark = 0 if not found else 2 if _SURE_MARK.search(found[0]) else 1
-                kept = MARK.sub("", plain).rstrip() if found else plain
+                kept = plain[: found.start()].rstrip() if found else plain
                 tail = last_segment(kept)
-                words = _WORD.findall(kept)
-                glued = bool(words) and kept.endswith(words[-1])
+                words = _WORD.findall(tail)
+                glued = bool(words) and tail.endswith(words[-1])
                 own = title_key(title)
-                out.append((table, record, source, len(text), len(text.encode("utf-8", "surrogatepass")), mark, bool(_ENDED.search(kept)), skeleton(tail), words[-1] if glued else "", bool(own) and title_key(tail) == own))
+                out.append((table, record, source, len(text), len(text.encode("utf-8", "surrogatepass")), mark, bool(_ENDED.search(tail)), skeleton(tail), words[-1] if glued else "", bool(own) and title_key(tail) == own))
             yield pd.DataFrame(out, columns=columns)
 
     return texts.select("record_table", "record_id", "source_name", "title", "text").mapInPandas(run, "record_table string, record_id string, source_name string, chars bigint, bytes bigint, mark int, ended boolean, skeleton string, word string, is_title boolean")
 
 
+def _residue_among(texts: DataFrame, keys: DataFrame, residue: ResidueModel) -> DataFrame:
+    """Those of the keys (record_table, record_id) whose text is a case of residue."""
+    weights = texts.sparkSession.sparkContext.broadcast(residue.classifier.weights)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = ResidueModel(Softmax(weights.value))
+        for b in batches:
+            hit = [model.is_case(t, title, "text") for t, title in zip(b.text, b.title)]
+            yield b.loc[hit, ["record_table", "record_id"]].astype(object)
+
+    rows = texts.join(keys, ["record_table", "record_id"], "left_semi").select("record_table", "record_id", "title", "text")
+    return rows.mapInPandas(run, "record_table string, record_id string").distinct()
+
+
 def cut_descriptions(texts: DataFrame, residue: ResidueModel) -> DataFrame:
-    """All texts with `cut`: whether they stop before they end; cases of residue and blank texts are left out.
+    """All texts that are not blank with `cut`: whether they stop before they end.
 
-    Rows of a source that is null count as one source of their own.
+    Cases of residue are not cut; only texts that would be are asked. Rows of a source that is
+    null count as one source of their own.
     """
     texts = texts.withColumn("source_name", F.coalesce("source_name", F.lit("")))
     spikes = stage(length_spikes(texts), "spikes")
     counts = stage(ending_counts(texts), "ending-counts")
     more = stage(continuations(counts), "continuations")
-    ends = stage(_ends(texts, residue), "ends")
+    ends = stage(_ends(texts), "ends")
     for unit in ("chars", "bytes"):
         at = spikes.where(F.col("unit") == unit).select("record_table", "source_name", F.col("length").cast("bigint").alias(unit), F.lit(True).alias(f"at_{unit}"))
         ends = ends.join(broadcast_if_few(at), ["record_table", "source_name", unit], "left")
@@ -202,7 +221,10 @@ def cut_descriptions(texts: DataFrame, residue: ResidueModel) -> DataFrame:
         .when(F.col("spike"), F.lit(True))
         .otherwise(~whole | torn)
     )
-    return ends.withColumn("cut", cut)
+    found = stage(ends.withColumn("gm_cut", cut), "found")
+    void = _residue_among(texts, found.where("gm_cut").select("record_table", "record_id"), residue).withColumn("gm_void", F.lit(True))
+    found = found.join(void, ["record_table", "record_id"], "left")
+    return found.withColumn("cut", F.col("gm_cut") & F.col("gm_void").isNull()).drop("gm_cut", "gm_void")
 
 
 def find_cut(grants: DataFrame, raw_grants: DataFrame) -> DataFrame:

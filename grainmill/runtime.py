@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -31,7 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
         return jsc.getCheckpointDir().get().rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="grainmill-"))
+    made = tempfile.mkdtemp(prefix="grainmill-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(made)
     return jsc.getCheckpointDir().get().rstrip("/")
 
 

@@ -67,11 +67,14 @@ def matched_fields(records: DataFrame, wanted: dict[str, list[str]], fields: str
     A name counts if it is equal, then equal but for case, then if one contains the other.
     """
 
+    def where(test, name: str) -> Column:
+        return F.try_element_at(F.map_values(F.map_filter(fields, lambda k, v: test(F.lower(k), F.lit(name.lower())))), F.lit(1))
+
     def pick(names: list[str]) -> Column:
-        tries = [F.element_at(F.col(fields), n) for n in names]
-        for test in (lambda k, n: F.lower(k) == n.lower(), lambda k, n: F.contains(F.lower(k), F.lit(n.lower())) | F.contains(F.lit(n.lower()), F.lower(k))):
-            tries += [F.element_at(F.map_values(F.map_filter(fields, lambda k, v, n=n, test=test: test(k, n))), 1) for n in names]
-        return F.coalesce(*tries)
+        exact = [F.try_element_at(F.col(fields), F.lit(n)) for n in names]
+        alike = [where(lambda k, n: k == n, n) for n in names]
+        within = [where(lambda k, n: F.contains(k, n) | F.contains(n, k), n) for n in names]
+        return F.coalesce(*exact, *alike, *within)
 
     return records.select("*", *[pick(names).alias(out) for out, names in wanted.items()])
 

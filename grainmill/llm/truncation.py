@@ -86,17 +86,19 @@ def length_spikes(texts: DataFrame) -> DataFrame:
     return top.select("record_table", "source_name", "unit", "length", "n")
 
 
-def ending_counts(texts: DataFrame) -> DataFrame:
-    """(skeleton, whole, last, open): how often a segment is whole, ends its line, or ends a text without punctuation.
+def ending_counts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(skeleton, whole, last, open): how often a segment is whole, ends its line, or ends a text without punctuation;
+    and (word, uses): how often each word stands in a text, its last one left out.
 
-    Counted in Python per batch and summed over all texts. An unended last segment counts as
-    open, not as whole.
+    Counted in Python per batch, in one pass, and summed over all texts. An unended last
+    segment counts as open, not as whole.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            inner, last, loose = Counter(), Counter(), Counter()
+            inner, last, loose, words = Counter(), Counter(), Counter(), Counter()
             for text in b.text:
+                words.update(_WORD.findall(text)[:-1])
                 got = segments(text)
                 if not got:
                     continue
@@ -114,10 +116,13 @@ def ending_counts(texts: DataFrame) -> DataFrame:
             for at, counter in enumerate((inner, last, loose)):
                 for s, n in counter.items():
                     rows.setdefault(skeleton(s), [0, 0, 0])[at] += n
-            yield pd.DataFrame({"skeleton": list(rows), "whole": [a + z for a, z, _ in rows.values()], "last": [z for _, z, _ in rows.values()], "open": [o for _, _, o in rows.values()]})
+            yield pd.DataFrame({"is_word": False, "key": list(rows), "whole": [a + z for a, z, _ in rows.values()], "last": [z for _, z, _ in rows.values()], "open": [o for _, _, o in rows.values()]})
+            yield pd.DataFrame({"is_word": True, "key": list(words), "whole": list(words.values()), "last": 0, "open": 0})
 
-    counted = texts.select("text").mapInPandas(run, "skeleton string, whole bigint, last bigint, open bigint")
-    return counted.groupBy("skeleton").agg(F.sum("whole").alias("whole"), F.sum("last").alias("last"), F.sum("open").alias("open"))
+    counted = texts.select("text").mapInPandas(run, "is_word boolean, key string, whole bigint, last bigint, open bigint")
+    counted = stage(counted.groupBy("is_word", "key").agg(F.sum("whole").alias("whole"), F.sum("last").alias("last"), F.sum("open").alias("open")), "ending-counts")
+    ends = counted.where("not is_word").select(F.col("key").alias("skeleton"), "whole", "last", "open")
+    return ends, counted.where("is_word").select(F.col("key").alias("word"), F.col("whole").alias("uses"))
 
 
 def continuations(counts: DataFrame) -> DataFrame:
@@ -136,19 +141,6 @@ def continuations(counts: DataFrame) -> DataFrame:
     return met.groupBy("skeleton").agg(F.sum(F.when(F.col("next") == F.col("part"), F.col("n") - F.col("n_final")).otherwise(F.col("n"))).alias("goes_on"))
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, uses): how often each word stands in a text, its last one left out."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            seen: Counter = Counter()
-            for text in b.text:
-                seen.update(_WORD.findall(text)[:-1])
-            yield pd.DataFrame({"word": list(seen), "uses": list(seen.values())})
-
-    return texts.select("text").mapInPandas(run, "word string, uses bigint").groupBy("word").agg(F.sum("uses").alias("uses"))
-
-
 def _ends(texts: DataFrame) -> DataFrame:
     """How each text that is not blank ends: mark, punctuation, skeleton and last word."""
     columns = ["record_table", "record_id", "source_name", "chars", "bytes", "mark", "ended", "skeleton", "word", "is_title"]
@@ -195,7 +187,7 @@ def cut_descriptions(texts: DataFrame, residue: ResidueModel) -> DataFrame:
     """
     texts = texts.withColumn("source_name", F.coalesce("source_name", F.lit("")))
     spikes = stage(length_spikes(texts), "spikes")
-    counts = stage(ending_counts(texts), "ending-counts")
+    counts, words = ending_counts(texts)
     more = stage(continuations(counts), "continuations")
     ends = stage(_ends(texts), "ends")
     for unit in ("chars", "bytes"):
@@ -206,7 +198,7 @@ def cut_descriptions(texts: DataFrame, residue: ResidueModel) -> DataFrame:
     known = used.join(counts, "skeleton", "left").join(more, "skeleton", "left").fillna(0, ["whole", "last", "open", "goes_on"])
     ends = join_dictionary(ends, stage(known, "known-ends"), ["skeleton"], "gm_n")
     last_words = ends.groupBy("word").agg(F.count("*").alias("gm_n"))
-    uses = stage(last_words.join(word_counts(texts), "word", "left").fillna(0, ["uses"]), "last-words")
+    uses = stage(last_words.join(words, "word", "left").fillna(0, ["uses"]), "last-words")
     ends = join_dictionary(ends, uses, ["word"], "gm_n")
     often = F.greatest(F.col("whole"), F.when(F.col("open") >= WHOLE_TIMES, F.col("open")).otherwise(0))
     whole = F.col("is_title") | ((often >= 2) & (often >= WHOLE_SHARE * F.col("goes_on")))
@@ -234,7 +226,8 @@ def find_cut(grants: DataFrame, raw_grants: DataFrame) -> DataFrame:
     only after words that don't stand alone.
     """
     texts = stage(descriptions(grants, raw_grants), "descriptions")
-    residue, _ = fit_residue(page_texts(grants))
+    # only descriptions are asked, so only they are learned from and no page is parsed
+    residue, _ = fit_residue(page_texts(grants.withColumn("raw_data", F.lit(None).cast("string"))))
     return cut_descriptions(texts, residue)
 
 

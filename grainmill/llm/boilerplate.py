@@ -229,9 +229,9 @@ def furniture_lines(texts: DataFrame, lines: LineModel, residue: ResidueModel, k
         for b in batches:
             keys, fields, numbers = [], [], []
             for k, title, field, kind, text in b[["gm_key", "title", "field", "kind", "text"]].itertuples(index=False, name=None):
-                if "\n" not in text or other.is_case(text, title, kind):
+                hit = model.furniture(text, title, kind) if "\n" in text else []
+                if hit and other.is_case(text, title, kind):
                     continue
-                hit = model.furniture(text, title, kind)
                 keys += [k] * len(hit)
                 fields += [field] * len(hit)
                 numbers += hit

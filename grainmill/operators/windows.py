@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainmill.runtime import broadcast_if_few
+
 
 def first_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row of the smallest `order` of each key; rows with a null key are kept all.
@@ -44,7 +46,7 @@ def nearest_of_kind(rows: DataFrame, kind: str, order: list[Column], most: int =
     place = F.row_number().over(Window.partitionBy(kind).orderBy(*order))
     top = top.withColumn("gm_place", place).select(F.col(kind).alias("gm_kind"), F.col(key).alias("other"), "gm_place")
     heads = top.groupBy("gm_kind").agg(F.sort_array(F.collect_list(F.struct("gm_place", "other"))).alias("gm_top"))
-    met = rows.select(key, F.col(kind).alias("gm_kind")).join(F.broadcast(heads), "gm_kind")
+    met = rows.select(key, F.col(kind).alias("gm_kind")).join(broadcast_if_few(heads), "gm_kind")
     others = F.slice(F.filter("gm_top", lambda x: x["other"] != F.col(key)), 1, most)
     return met.select(key, F.posexplode(others).alias("gm_pos", "x")).select(key, (F.col("gm_pos") + 1).alias("place"), "x.other")
 

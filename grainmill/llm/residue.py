@@ -25,7 +25,7 @@ from grainmill.runtime import stage
 #: Labelled texts per class that the classifier is fitted to (a bound on the sample).
 SAMPLE = 1500
 #: Texts looked at for each that is wanted.
-SIEVE = 30
+SIEVE = 20
 #: Fine texts learned from for each case.
 FINE_PER_CASE = 5
 FINE, RESIDUE, VOID = 0, 1, 2

@@ -32,7 +32,7 @@ FINE, RESIDUE, VOID = 0, 1, 2
 #: Scores from which a sentence is a candidate, and the share of void text that makes a case.
 CANDIDATE, MOSTLY = 0.05, 0.55
 #: Score of void text from which a phrase in the sentence settles it.
-DOUBT = 0.2
+DOUBT = 0.12
 #: Length of a fine sentence that says something, and the share of void text that outweighs it.
 SAYS, NEARLY_ALL = 45, 0.85
 

@@ -2,7 +2,7 @@
 
 Per source, lengths in characters and bytes are tested for spikes; a text at a spike without
 terminal punctuation is cut. Elsewhere, and where a text at a spike does end in punctuation,
-the end itself is tested against all texts: how often the last words stand as a whole line or
+the end itself is tested against all distinct texts: how often the last words stand as a whole line or
 sentence, how often they go on, and whether the last word is ever used as one.
 """
 
@@ -90,8 +90,8 @@ def ending_counts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(skeleton, whole, last, open): how often a segment is whole, ends its line, or ends a text without punctuation;
     and (word, uses): how often each word stands in a text, its last one left out.
 
-    Counted in Python per batch, in one pass, and summed over all texts. An unended last
-    segment counts as open, not as whole.
+    Counted in Python per batch, in one pass, and summed over the distinct texts, so copies of a
+    text don't vouch for its end. An unended last segment counts as open, not as whole.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,7 +119,7 @@ def ending_counts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pd.DataFrame({"is_word": False, "key": list(rows), "whole": [a + z for a, z, _ in rows.values()], "last": [z for _, z, _ in rows.values()], "open": [o for _, _, o in rows.values()]})
             yield pd.DataFrame({"is_word": True, "key": list(words), "whole": list(words.values()), "last": 0, "open": 0})
 
-    counted = texts.select("text").mapInPandas(run, "is_word boolean, key string, whole bigint, last bigint, open bigint")
+    counted = texts.select("text").distinct().mapInPandas(run, "is_word boolean, key string, whole bigint, last bigint, open bigint")
     counted = stage(counted.groupBy("is_word", "key").agg(F.sum("whole").alias("whole"), F.sum("last").alias("last"), F.sum("open").alias("open")), "ending-counts")
     ends = counted.where("not is_word").select(F.col("key").alias("skeleton"), "whole", "last", "open")
     return ends, counted.where("is_word").select(F.col("key").alias("word"), F.col("whole").alias("uses"))
@@ -204,7 +204,9 @@ def cut_descriptions(texts: DataFrame, residue: ResidueModel) -> DataFrame:
     whole = F.col("is_title") | ((often >= 2) & (often >= WHOLE_SHARE * F.col("goes_on")))
     # words before a bare ellipsis stand alone only if they seldom go on
     alone = F.col("is_title") | ((often >= 2) & (often >= F.col("goes_on")))
-    torn = (F.col("word") != "") & (F.col("uses") < 1) & ~F.col("is_title") & (F.col("open") < WHOLE_TIMES)
+    # a word that only ends texts is a closing ("Watch this space ...") only where its letters never go on
+    closing = (F.col("open") >= WHOLE_TIMES) & (F.col("goes_on") < 1)
+    torn = (F.col("word") != "") & (F.col("uses") < 1) & ~F.col("is_title") & ~closing
     cut = (
         F.when(F.col("mark") == 2, F.lit(True))
         .when(F.col("mark") == 1, ~alone | F.col("ended") | torn)

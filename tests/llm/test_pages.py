@@ -116,3 +116,12 @@ def test_spikes_and_cut_texts(spark):
     spikes = length_spikes(descriptions(grants, raw)).where("unit = 'chars'").collect()
     assert {(r.source_name, r.length) for r in spikes} >= {("opp-search-api", 2000), ("state-econ-office", 500)}
     assert find_cut(grants.limit(0), raw.limit(0)).count() == 0
+
+
+def test_copies_of_a_cut_text_do_not_vouch_for_it(spark):
+    closed = [f"Growers in county {n} may apply. Preference goes to shops open for at least {n} months in a row" for n in range(2, 9)]
+    cut = "Growers may apply. Preference goes to shops open for at least 3 mon"
+    closing = [f"Program {n} opens soon for growers. Watch this zxspace ..." for n in range(4)]
+    grants = with_context(spark, [(x, None) for x in closed + [cut] * 4 + closing])
+    found = {r.record_id: r.cut for r in find_cut(grants, table(spark, DATA, "raw_grants")).where("length(record_id) < 4 AND record_table = 'grants'").collect()}
+    assert all(found[f"g{i}"] for i in range(7, 11)) and not any(found[f"g{i}"] for i in range(11, 15))

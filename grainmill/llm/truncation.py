@@ -1,6 +1,6 @@
 """Texts cut off by field limits or in transfer.
 
-Per source, lengths in characters and bytes are tested for spikes; a text at a spike without
+Per source, the lengths of distinct texts in characters and bytes are tested for spikes; a text at a spike without
 terminal punctuation is cut. Elsewhere, and where a text at a spike does end in punctuation,
 the end itself is tested against all distinct texts: how often the last words stand as a whole line or
 sentence, how often they go on, and whether the last word is ever used as one.
@@ -24,6 +24,8 @@ from grainmill.runtime import broadcast_if_few, stage
 
 #: A length counts as a spike if it is this much likelier than the lengths around it, with so many texts and such a share of its source at least.
 SPIKE, SPIKE_TEXTS, SPIKE_SHARE, AROUND, SHORTEST = 5.0, 4, 0.003, 30, 120
+#: A further spike of a source is believed from here on: the logarithm of the odds against one by chance among all lengths of the source.
+NO_CHANCE = 4.6
 #: An open end counts as whole if it is at least this share of the segments that go on from it, and occurs so often.
 WHOLE_SHARE, WHOLE_TIMES = 0.015, 3
 #: A sentence that ends fewer than this share of its paragraphs does not end a text at a spike.
@@ -69,21 +71,43 @@ def descriptions(grants: DataFrame, raw_grants: DataFrame) -> DataFrame:
     return a.unionByName(b).where(F.col("text").isNotNull())
 
 
+def _spikes(lengths: DataFrame) -> DataFrame:
+    """Lengths that stand out of those around them, with `chance`: how far from chance, as a logarithm."""
+    source = ["record_table", "source_name", "unit"]
+    histogram = lengths.groupBy(*source, "length").agg(F.sum("n").alias("n")).where(F.col("length") >= SHORTEST)
+    window = Window.partitionBy(*source)
+    rest = (F.sum("n").over(window.orderBy("length").rangeBetween(-AROUND, AROUND)) - F.col("n")) / (2.0 * AROUND)
+    rows = histogram.withColumns({"rest": rest, "all": F.sum("n").over(window), "lengths": F.count("*").over(window)})
+    rows = rows.where((F.col("n") >= SPIKE_TEXTS) & (F.col("n") >= SPIKE_SHARE * F.col("all")) & (F.col("n") >= SPIKE * F.greatest("rest", F.lit(0.2))))
+    usual = F.greatest("rest", F.lit(0.5 / AROUND))
+    chance = F.col("n") * F.log(F.col("n") / usual) - F.col("n") + usual - F.log("lengths")
+    return rows.select(*source, "length", "n", chance.alias("chance"))
+
+
 def length_spikes(texts: DataFrame) -> DataFrame:
-    """(record_table, source_name, unit, length): lengths at which texts of a source pile up.
+    """(record_table, source_name, unit, length, n): lengths at which the distinct texts of a source pile up.
 
     `unit` is "chars" or "bytes". The histogram has one row per source and length; a length is
-    a spike if it holds SPIKE times the mean of the lengths within AROUND of it. A field has one
-    limit: of several spikes of a source and unit the highest counts.
+    a spike if it holds SPIKE times the mean of the lengths within AROUND of it. The highest of a
+    source and unit counts, and so does every other one that chance doesn't explain (bound of a
+    Poisson tail, times the lengths tested). A length at which texts stand only because they fill
+    a limit in the other unit is none.
     """
-    lengths = texts.select("record_table", "source_name", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length("text").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("length")))).alias("x"))
-    histogram = lengths.groupBy("record_table", "source_name", "x.unit", "x.length").agg(F.count("*").alias("n")).where(F.col("length") >= SHORTEST)
-    source = Window.partitionBy("record_table", "source_name", "unit")
-    rest = (F.sum("n").over(source.orderBy("length").rangeBetween(-AROUND, AROUND)) - F.col("n")) / (2.0 * AROUND)
-    rows = histogram.withColumns({"rest": rest, "all": F.sum("n").over(source)})
-    rows = rows.where((F.col("n") >= SPIKE_TEXTS) & (F.col("n") >= SPIKE_SHARE * F.col("all")) & (F.col("n") >= SPIKE * F.greatest("rest", F.lit(0.2))))
-    top = rows.groupBy("record_table", "source_name", "unit").agg(F.max_by("length", F.struct("n", "length")).alias("length"), F.max("n").alias("n"))
-    return top.select("record_table", "source_name", "unit", "length", "n")
+    key = ["record_table", "source_name"]
+    distinct = texts.select(*key, F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("h")).distinct()
+    pairs = stage(distinct.groupBy(*key, "chars", "bytes").agg(F.count("*").alias("n")), "lengths")
+    both = F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("length"), F.lit(v).alias("other_unit"), F.col(v).alias("other")) for u, v in (("chars", "bytes"), ("bytes", "chars"))])
+    lengths = pairs.select(*key, F.explode(both).alias("x"), "n").select(*key, "x.*", "n")
+    named = lambda spikes, name: spikes.select(*key, F.col("unit").alias("other_unit"), F.col("length").alias("other"), F.col("n").alias(name))
+    top = stage(_spikes(lengths).groupBy(*key, "unit").agg(F.max_by("length", F.struct("n", "length")).alias("length"), F.max("n").alias("n")), "top-spikes")
+    # what the highest ones explain is left out, so that they hide no other one near them
+    rest = lengths.join(broadcast_if_few(top.drop("n")), [*key, "unit", "length"], "left_anti").join(broadcast_if_few(named(top, "by_n")), [*key, "other_unit", "other"], "left_anti")
+    more = stage(_spikes(rest).where(F.col("chance") >= NO_CHANCE), "more-spikes")
+    own, by = more.select(*key, "unit", "length", F.col("n").alias("own_n")), named(more, "by_n")
+    seen = rest.join(broadcast_if_few(own), [*key, "unit", "length"], "left").join(broadcast_if_few(by), [*key, "other_unit", "other"], "left")
+    echo = (F.col("other") != F.col("length")) & (F.coalesce("by_n", F.lit(0)) > F.coalesce("own_n", F.lit(0)))
+    more = _spikes(seen.where(~echo)).where(F.col("chance") >= NO_CHANCE).select(*key, "unit", "length", "n")
+    return top.select(*key, "unit", "length", "n").unionByName(more)
 
 
 def ending_counts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -125,3 +125,11 @@ def test_copies_of_a_cut_text_do_not_vouch_for_it(spark):
     grants = with_context(spark, [(x, None) for x in closed + [cut] * 4 + closing])
     found = {r.record_id: r.cut for r in find_cut(grants, table(spark, DATA, "raw_grants")).where("length(record_id) < 4 AND record_table = 'grants'").collect()}
     assert all(found[f"g{i}"] for i in range(7, 11)) and not any(found[f"g{i}"] for i in range(11, 15))
+
+
+def test_every_limit_is_a_spike_whatever_is_copied(spark):
+    body = lambda i, n: (f"{i:05d} " + "growers may apply for looms " * 40)[:n]
+    rest = [body(i, 130 + 3 * i) for i in range(150)]
+    texts = ["whole " * 40] * 200 + [body(1000 + i, 400) for i in range(40)] + [body(2000 + i, 410) for i in range(25)] + rest
+    rows = spark.createDataFrame([("grants", "s", x) for x in texts], "record_table string, source_name string, text string")
+    assert {(r.unit, r.length) for r in length_spikes(rows).collect()} == {(u, n) for u in ("chars", "bytes") for n in (400, 410)}

@@ -23,9 +23,9 @@ from grainmill.llm.pages import page_texts, title_key, without_tags
 from grainmill.runtime import stage
 
 #: Labelled texts per class that the classifier is fitted to (a bound on the sample).
-SAMPLE = 1500
+SAMPLE = 3000
 #: Texts looked at for each that is wanted.
-SIEVE = 20
+SIEVE = 40
 #: Fine texts learned from for each case.
 FINE_PER_CASE = 5
 FINE, RESIDUE, VOID = 0, 1, 2

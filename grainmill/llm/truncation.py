@@ -252,8 +252,8 @@ def find_cut(grants: DataFrame, raw_grants: DataFrame) -> DataFrame:
     only after words that don't stand alone.
     """
     texts = stage(descriptions(grants, raw_grants), "descriptions")
-    # only descriptions are asked, so only they are learned from and no page is parsed
-    residue, _ = fit_residue(page_texts(grants.withColumn("raw_data", F.lit(None).cast("string"))))
+    # the model of p1_found and p4_found, so no description is a case of problem 1 and cut as well
+    residue, _ = fit_residue(page_texts(grants))
     return cut_descriptions(texts, residue)
 
 

@@ -133,3 +133,15 @@ def test_every_limit_is_a_spike_whatever_is_copied(spark):
     texts = ["whole " * 40] * 200 + [body(1000 + i, 400) for i in range(40)] + [body(2000 + i, 410) for i in range(25)] + rest
     rows = spark.createDataFrame([("grants", "s", x) for x in texts], "record_table string, source_name string, text string")
     assert {(r.unit, r.length) for r in length_spikes(rows).collect()} == {(u, n) for u in ("chars", "bytes") for n in (400, 410)}
+
+
+def test_cut_texts_are_asked_of_the_model_of_problem_1(spark, monkeypatch):
+    grants, seen = table(spark, DATA, "grants"), []
+
+    def spy(texts):
+        seen.extend(r.field for r in texts.select("field").distinct().collect())
+        return fit_residue(texts, most=50)
+
+    monkeypatch.setattr("grainmill.llm.truncation.fit_residue", spy)
+    find_cut(grants, table(spark, DATA, "raw_grants").limit(0))
+    assert set(seen) == {"description", "raw_data"}

@@ -77,7 +77,7 @@ def parse_sum(raw: str | None) -> Sum:
     one currency sign or none holds for both. Counts of awards, shares, durations and years
     are no sums. Texts that state no sum, or several, give NOTHING.
     """
-    if not raw or len(raw) > 2000:
+    if not raw:
         return NOTHING
     text = re.sub(r"[\s    ]+", " ", raw).strip()
     overall = None

@@ -59,3 +59,8 @@ def test_identity_between_columns(spark):
     assert solved["b"].gm_min.stored_scale == 0.01 and solved["b"].gm_min.unique
     assert solved["d"].gm_min.usd == 700 and not solved["d"].gm_min.unique
     assert wrong_bounds(rows.limit(0)).count() == 0
+
+
+def test_long_texts_are_parsed_whole():
+    s = parse_sum("Awards of up to $5,000 " + "for growers and their shops " * 100)
+    assert (s.low, s.high, s.high_unit) == (None, 5000.0, 1.0)

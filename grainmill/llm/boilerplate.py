@@ -249,7 +249,7 @@ def find_furniture(grants: DataFrame, key: str = "grant_id") -> DataFrame:
     no row, nor do texts of one line, texts that residue.find_residue finds, and null texts.
     """
     texts = page_texts(grants, key)
-    residue, _ = fit_residue(texts)
+    residue = fit_residue(texts)
     return furniture_lines(texts, fit_lines(texts), residue, key)
 
 

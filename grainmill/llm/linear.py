@@ -13,7 +13,11 @@ BITS = 18
 #: A name: a run of two or more capitalised words.
 NAMES = re.compile(r"[A-ZÀ-Þ][\w'’-]+(?:\s+[A-ZÀ-Þ][\w'’-]+)+")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+|[^\w\s]+|_+")
-_DIGIT = re.compile(r"\d")
+_NINES = str.maketrans("0123456789", "9" * 10)
+#: Numbers of zeros alone, which stand where a number is missing.
+_ZEROS = re.compile(r"(?<![\d.,])0+(?![\d.])")
+#: Stands before the form of a text that is all in capitals.
+_CAPITALS = "\x00"
 
 
 @lru_cache(maxsize=200_000)
@@ -21,14 +25,25 @@ def _slot(feature: str) -> int:
     return crc32(feature.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
 
 
-def words_of(text: str) -> list[str]:
-    """Words, numbers (digits as 9) and runs of signs of a text; names count as one word."""
-    return [_DIGIT.sub("9", w.lower()) if w != "Nn" else "Nn" for w in _WORDS.findall(NAMES.sub("Nn", text))]
+def form_of(text: str) -> str:
+    """A text with names as one word, digits as 9 and bare zeros as a word, in lower case: all that its features depend on."""
+    form = NAMES.sub("Nn", text)
+    if form.strip() == "Nn":  # nothing but a name: its words are all there is
+        form += " " + text
+    if "0" in form:
+        form = _ZEROS.sub("zero", form)
+    form = form.translate(_NINES).lower().strip()
+    return _CAPITALS + form if text.isupper() else form
 
 
 def text_features(text: str) -> list[str]:
     """Words, pairs of words, signs with their character pairs, and the shape of a text."""
-    words = words_of(text)
+    return form_features(form_of(text))
+
+
+def form_features(form: str) -> list[str]:
+    """The features of all texts of a form."""
+    words = _WORDS.findall(form)
     out = ["#bias"]
     out += words
     out += [f"{a} {b}" for a, b in zip(words, words[1:])]
@@ -42,10 +57,9 @@ def text_features(text: str) -> list[str]:
     out.append(f"#n{min(12, n) if n < 12 else 12 + min(4, n // 12)}")
     if n > 1 and len(set(plain)) <= max(1, n // 2):
         out.append("#repeats")
-    letters = [c for c in text if c.isalpha()]
-    if letters and sum(c.isupper() for c in letters) > len(letters) * 0.6:
+    if form.startswith(_CAPITALS):
         out.append("#upper")
-    out.append("#end" + (text.rstrip()[-1:] if text.rstrip()[-1:] in ".!?…:" else "none"))
+    out.append("#end" + (form[-1:] if form[-1:] in ".!?…:" else "none"))
     return out
 
 
@@ -57,12 +71,49 @@ class Softmax:
 
     def probabilities(self, features: list[str]) -> np.ndarray:
         """The probability of each class for one item."""
-        z = self.weights[[_slot(f) for f in features]].sum(axis=0) / math.sqrt(len(features) or 1)
-        z = np.exp(z - z.max())
-        return z / z.sum()
-
-
-def fit(items: list[list[str]], labels: list[int], classes: int, passes: int = 5, batch: int = 512, rate: float = 0.5, decay: float = 1e-5, seed: int = 7) -> Softmax:
+        return softmax(self.total(features), len(features))
+
+    def total(self, features: list[str]) -> np.ndarray:
+        """The summed weights of features."""
+        return self.weights[[_slot(f) for f in features]].sum(axis=0)
+
+
+def softmax(total: np.ndarray, count: int) -> np.ndarray:
+    """Probabilities of the classes from the summed weights of so many features."""
+    z = total / math.sqrt(count or 1)
+    z = np.exp(z - z.max())
+    return z / z.sum()
+
+
+class Scorer:
+    """A classifier that keeps what it summed per form, so that texts of one form are looked at once."""
+
+    def __init__(self, classifier: Softmax, most: int = 200_000):
+        self.classifier, self.most = classifier, most
+        self.sums: dict[str, tuple[np.ndarray, int]] = {}
+        self.got: dict[tuple, tuple[float, ...]] = {}
+
+    def probabilities(self, text: str, more: tuple[str, ...]) -> tuple[float, ...]:
+        """The probability of each class for a text with further features."""
+        form = form_of(text)
+        k = (form, more)
+        got = self.got.get(k)
+        if got is None:
+            if len(self.got) > self.most or len(self.sums) > self.most:
+                self.got.clear()
+                self.sums.clear()
+            known = self.sums.get(form)
+            if known is None:
+                features = form_features(form)
+                known = (self.classifier.total(features), len(features))
+            p = softmax(known[0] + self.classifier.total(list(more)), known[1] + len(more)) if more else softmax(*known)
+            got = tuple(map(float, p))
+            if len(form) < 400:  # long texts seldom come again
+                self.sums[form], self.got[k] = known, got
+        return got
+
+
+def fit(items: list[list[str]], labels: list[int], classes: int, passes: int = 10, batch: int = 512, rate: float = 0.5, decay: float = 1e-4, seed: int = 7) -> Softmax:
     """Fit by adaptive gradient steps with weight decay; classes count alike however rare they are.
 
     A pass takes at least about 60 steps, so that small samples are learned as well. The result depends on the items and the seed only. Without items, or with items of one

@@ -9,7 +9,8 @@ from grainmill.llm.canonical import LISTS, canonical_entries
 from grainmill.llm.chunking import split_documents
 from grainmill.llm.encode import encode_documents
 from grainmill.llm.mixture import mix, share_report, sized
-from grainmill.llm.residue import find_residue
+from grainmill.llm.pages import page_texts
+from grainmill.llm.residue import find_residue, validation
 from grainmill.llm.survivors import best_records
 from grainmill.llm.truncation import cut_rates, find_cut
 from grainmill.runtime import table
@@ -23,6 +24,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_residue(table(spark, folder, "grants")).select("grant_id", "field")
 
 
+def p1_validation(spark: SparkSession, folder: str) -> DataFrame:
+    """Recall and precision of the classifier of p1_found on hosts that it wasn't fitted to."""
+    return validation(page_texts(table(spark, folder, "grants")))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Descriptions that were cut."""
     found = find_cut(table(spark, folder, "grants"), table(spark, folder, "raw_grants"))
@@ -75,4 +81,4 @@ def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict:
     """Name -> callable of this module's queries."""
-    return {f.__name__: f for f in (p1_found, p3_found, p3_rates, p4_found, p5_found, p6_found, p8_ids, p9_mix, p9_shares, p10_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_validation, p3_found, p3_rates, p4_found, p5_found, p6_found, p8_ids, p9_mix, p9_shares, p10_pieces)}

@@ -1,40 +1,41 @@
 """Template residue, filler, error pages and demands for scripts in place of content.
 
-Phrases, status lines and the like give weak labels to a bounded sample of texts; a softmax
-classifier over hashed n-grams, length and title features is fitted to their sentences and
-checked on hosts it hasn't seen. It then scores every sentence of every text. A text is a case
-if a sentence is residue of a template, which a pattern confirms, or if what fills its place is
-void: filler, an error message, a demand for scripts.
+Lines with a response status and phrases give weak labels to a bounded sample of texts; a softmax
+classifier over hashed n-grams, length and title features is fitted to their sentences. It then
+scores every sentence of every text, and its scores alone decide: a text is a case if a sentence
+is residue of a template, which a pattern then confirms, or if what fills the text's place is
+void (filler, an error message, a demand for scripts). The phrases are not asked again.
+`validation` fits without a fifth of the hosts and reports recall and precision on those.
 """
 
 from __future__ import annotations
 
 import re
-from collections import OrderedDict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.linear import Softmax, fit, text_features
+from grainmill.llm.linear import Scorer, Softmax, fit, text_features
 from grainmill.llm.pages import page_texts, title_key, without_tags
 from grainmill.runtime import stage
 
-#: Labelled texts per class that the classifier is fitted to (a bound on the sample).
-SAMPLE = 3000
+#: Labelled texts per class that the classifier is fitted to (a bound on the sample); of fine ones so many times more.
+SAMPLE, FINE_TIMES = 3000, 3
 #: Texts looked at for each that is wanted.
 SIEVE = 40
+#: Longest text that the classifier is fitted to (a bound on the sample; every text is scored whole).
+LONGEST = 20_000
 #: Fine texts learned from for each case.
 FINE_PER_CASE = 5
 FINE, RESIDUE, VOID = 0, 1, 2
-#: Scores from which a sentence is a candidate, and the share of void text that makes a case.
-CANDIDATE, MOSTLY = 0.05, 0.55
-#: Score of void text from which a phrase in the sentence settles it.
-DOUBT = 0.12
-#: Length of a fine sentence that says something, and the share of void text that outweighs it.
-SAYS, NEARLY_ALL = 45, 0.85
+#: Score from which a sentence is residue or void, and the share of void text that makes a case.
+ENOUGH, MOSTLY = 0.5, 0.55
+#: Score of void up to which a sentence is surely fine; its length if it says something; the share of void text that outweighs it.
+SURELY_FINE, SAYS, NEARLY_ALL = 0.12, 45, 0.85
 
 #: Placeholders that no reader should see (fixed patterns).
 PLACEHOLDERS = (
@@ -86,32 +87,34 @@ def has_placeholder(text: str) -> bool:
     return any(w in text for w in _WORDS) and _PLACEHOLDER.search(text) is not None
 
 
+#: Lines that carry a response status (weak labels).
+_WRONG = "error|forbidden|found|gone|gateway|unavailable|unauthorized|requests|denied|timeout"
+STATUS = rf"\b[45]\d\d\b.{{0,20}}(?:{_WRONG})|(?:{_WRONG})\W{{0,3}}\(?\b[45]\d\d\b"
 #: Phrases that stand where a text is missing, failed or waits for scripts (weak labels).
 STUBS = r"(?:goes here|coming soon|will follow|to be (?:added|supplied|written|completed)|(?:- )?replace before publishing|draft, do not publish|max \d+ sentences|needed from program staff)\b|^\W*(?:todo|tbd)\b|placeholder|add your content|edit this text block|text block|lorem|ipsum|dummy|do not remove|(?:text|copy|description|summary|overview|paragraph) pending"
 ERRORS = (
-    r"\b[45]\d\d\b.{0,20}(?:error|forbidden|found|gone|gateway|unavailable|unauthorized|requests|denied|timeout)|(?:error|forbidden|found|gone|gateway|unavailable|unauthorized|requests|denied|timeout)\W{0,3}\(?\b[45]\d\d\b"
-    r"|service unavailable|unknown error|internal server error|bad gateway|too many requests|^\W*(?:forbidden|unauthorized|gone|not found)\b|<h1>"
-    r"|(?:page|address|file|link|listing|record|document|item|detail|site|program detail)\b.{0,30}\b(?:not (?:be )?(?:found|displayed|available)|does(?:n't| not) exist|no longer exists?|cannot be|was moved|been (?:moved|removed|deleted|taken down)|has expired|out of reach)"
+    r"service unavailable|unknown error|internal server error|bad gateway|too many requests|^\W*(?:forbidden|unauthorized|gone|not found)\b|<h1>"
+    r"|(?:page|address|file|link|listing|record|document|item|detail|site|program detail)\b.{0,30}\b(?:not (?:be )?(?:found|displayed|available)|does(?:n't| not) exist|no longer exists?|cannot be|(?:was|been) (?:moved|removed|deleted|taken down)|has expired|out of reach)"
     r"|did not load|could not be (?:found|loaded|shown)|went wrong|fatal error|uncaught|timed? ?out|disconnect|traceback|exception\b.{0,3}(?:at|:)|sql ?state|stack trace|rate limit|session has expired|access denied|acceso denegado|has been blocked|(?:is|are) not here|not allowed to (?:open|view)|planned maintenance|being built|temporarily|no encontrada|error del servidor|intente de nuevo"
 )
 SCRIPTS = (
     r"(?:enable|activate|turn on|switch on|allow|requires?|without|does not run|run)\b.{0,25}\b(?:java ?script|js|scripts?|scripting|active content)\b|(?:java ?script|scripts?|scripting|active content)\b.{0,25}\b(?:is|are|be) (?:off|active|disabled|blocked|enabled|required)|active scripting|^noscript"
     r"|browser (?:version )?(?:is not|does not)|^\W*loading\b|please wait|checking your browser|prove that you are"
 )
-_VOID_WORDS = re.compile(f"(?i:{STUBS}|{ERRORS}|{SCRIPTS})", re.M)
+_VOID_WORDS = re.compile(f"(?i:{STATUS}|{STUBS}|{ERRORS}|{SCRIPTS})", re.M)
 #: One of these stands in every void phrase; a cheap test before the patterns.
-_HINTS = tuple(
+_HINTS = re.compile(
     "here|soon|follow|to be |replace|draft|max |needed|todo|tbd|placeholder|your content|text block|lorem|ipsum|dummy|do not remove|pending|error|forbidden|found|gone|gateway|unavailable|unauthorized|requests|denied|timeout|"
-    "<h1>|not |exist|cannot|moved|deleted|removed|taken down|expired|reach|load|wrong|fatal|uncaught|timed|time out|disconnect|traceback|exception|sql|stack trace|rate limit|blocked|maintenance|being built|temporarily|encontrada|servidor|denegado|intente|script|js|active content|browser|please wait|prove that".split("|")
+    "<h1>|not |exist|cannot|moved|deleted|removed|taken down|expired|reach|load|wrong|fatal|uncaught|timed|time out|disconnect|traceback|exception|sql|stack trace|rate limit|blocked|maintenance|being built|temporarily|encontrada|servidor|denegado|intente|script|js|active content|browser|please wait|prove that"
 )
 
 
+@lru_cache(maxsize=100_000)
 def is_void_phrase(text: str) -> bool:
-    """Whether a phrase stands in a text that takes the place of content."""
-    low = text.lower()
-    return any(h in low for h in _HINTS) and _VOID_WORDS.search(text) is not None
+    """Whether a response status or a phrase stands in a text that takes the place of content (a weak label)."""
+    return _HINTS.search(text.lower()) is not None and _VOID_WORDS.search(text) is not None
+
 
-_SAME = re.compile(r"(?i)^\W*(\w+)(?:\W+\w+)?(?:\W+\1(?:\W+\w+)?)*\W*$")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 #: Longest text that a void phrase labels as void by itself.
 SHORT = 400
@@ -128,8 +131,12 @@ def repeated_words(text: str) -> bool:
     return len(words) > 1 and len(set(words)) <= max(1, min(2, len(words) // 2))
 
 
+#: Label of a fine text in which a phrase stands all the same.
+HARD = 3
+
+
 def weak_label(text: str, title: str, kind: str) -> int | None:
-    """The class that phrases and status lines suggest for a text; None if nothing does."""
+    """The class that phrases and status lines suggest for a text (HARD: fine in spite of one); None if nothing does."""
     if has_placeholder(text):
         return RESIDUE
     own = title_key(title)
@@ -140,15 +147,17 @@ def weak_label(text: str, title: str, kind: str) -> int | None:
     void = sum(len(x) for x in parts if is_void_phrase(x) or repeated_words(x) or x.lower().count("ipsum") > 1)
     if void >= 0.4 * total and total <= SHORT or void >= 0.8 * total:
         return VOID
-    return FINE if void <= 0.2 * total and total > 60 else None
+    return (HARD if void else FINE) if void <= 0.2 * total and total > 60 else None
+
+
+def _shape(is_title: bool, text_size: int, count: int) -> tuple[str, ...]:
+    """Features of the text around a sentence."""
+    out = (f"#text{min(6, text_size // 100)}", f"#of{min(4, count)}")
+    return (*out, "#title") if is_title else out
 
 
 def _features(sentence: str, is_title: bool, text_size: int, count: int) -> list[str]:
-    out = text_features(sentence)
-    out += [f"#text{min(6, text_size // 100)}", f"#of{min(4, count)}"]
-    if is_title:
-        out.append("#title")
-    return out
+    return [*text_features(sentence), *_shape(is_title, text_size, count)]
 
 
 class ResidueModel:
@@ -156,37 +165,37 @@ class ResidueModel:
 
     def __init__(self, classifier: Softmax):
         self.classifier = classifier
-        self.kept: OrderedDict[tuple, tuple[float, float]] = OrderedDict()
-
-    def score(self, sentence: str, is_title: bool, text_size: int, count: int) -> tuple[float, float]:
-        """Probability of residue and of void text."""
-        k = (sentence if len(sentence) < 300 else hash(sentence), is_title, min(6, text_size // 100), min(4, count))
-        got = self.kept.get(k)
-        if got is None:
-            p = self.classifier.probabilities(_features(sentence, is_title, text_size, count))
-            got = (float(p[RESIDUE]), float(p[VOID]))
-            if len(self.kept) > 100_000:
-                self.kept.clear()
-            self.kept[k] = got
-        return got
+        self.scorer = Scorer(classifier)
 
-    def is_case(self, text: str, title: str, kind: str) -> bool:
-        """Whether a text holds residue or is void. Blank texts and bare titles are neither."""
+    def shares(self, text: str, title: str, kind: str) -> tuple[float, float, float]:
+        """The highest residue score of a sentence, the share of void text and the length of the longest sentence that is surely fine, the title left out."""
         parts = sentences_of(text, kind)
         own = title_key(title)
         size, residue, void, total, plain = sum(map(len, parts)), 0.0, 0, 0, 0
         for s in parts:
             is_title = bool(own) and title_key(s) == own
-            r, v = self.score(s, is_title, size, len(parts))
+            _, r, v = self.scorer.probabilities(s, _shape(is_title, size, len(parts)))
             residue = max(residue, r)
             if not is_title:
-                total += len(s)
-                plain = max(plain, len(s) * (v < DOUBT))
-                void += len(s) * (v >= 0.5 or (v >= DOUBT and (is_void_phrase(s) or repeated_words(s))))
-        if residue >= CANDIDATE and has_placeholder(text):
-            return True
+                n = len(s)
+                total += n
+                if v < SURELY_FINE:
+                    plain = max(plain, n)
+                void += n * (v >= ENOUGH)
+        return residue, void / total if total else 0.0, plain
+
+    def found(self, text: str, title: str, kind: str) -> int:
+        """The class of a text by the classifier alone. Blank texts and bare titles are fine."""
+        residue, void, plain = self.shares(text, title, kind)
         # one sentence that surely says something keeps a text, unless hardly anything else is there
-        return bool(total) and void >= (MOSTLY if plain < SAYS else NEARLY_ALL) * total
+        if void >= (MOSTLY if plain < SAYS else NEARLY_ALL):
+            return VOID
+        return RESIDUE if residue >= ENOUGH else FINE
+
+    def is_case(self, text: str, title: str, kind: str) -> bool:
+        """Whether a text is void, or holds residue that a pattern confirms."""
+        got = self.found(text, title, kind)
+        return got == VOID or (got == RESIDUE and has_placeholder(text))
 
 
 def labelled_sample(texts: DataFrame, most: int = SAMPLE) -> pd.DataFrame:
@@ -194,6 +203,7 @@ def labelled_sample(texts: DataFrame, most: int = SAMPLE) -> pd.DataFrame:
 
     A sieve by hash lets through about SIEVE * most texts, whatever the size of the table, so
     labelling costs the same on a terabyte; of each class those with the smallest hashes stay.
+    Fine texts in which a phrase stands are a class of their own here, as they teach most.
     """
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,14 +213,14 @@ def labelled_sample(texts: DataFrame, most: int = SAMPLE) -> pd.DataFrame:
             yield b[kept].astype({c: object for c in ("host", "title", "kind", "text")}).assign(label=[x for x in got if x is not None])[["host", "title", "kind", "text", "label", "h"]]
 
     rate = min(1.0, SIEVE * most / max(1, texts.count()))
-    rows = texts.where(F.length("text") < 20_000).withColumn("h", F.xxhash64("host", "title", "text"))
+    rows = texts.where(F.length("text") < LONGEST).withColumn("h", F.xxhash64("host", "title", "text"))
     rows = rows.where(F.pmod("h", F.lit(1_000_000)) < F.lit(round(rate * 1_000_000)))
     rows = stage(rows.select("host", "title", "kind", "text", "h").mapInPandas(label, "host string, title string, kind string, text string, label int, h bigint"), "labelled")
-    parts = [rows.where(F.col("label") == c).orderBy("h").limit(most) for c in (FINE, RESIDUE, VOID)]
-    got = parts[0].unionByName(parts[1]).unionByName(parts[2]).toPandas()
+    got = pd.concat([rows.where(F.col("label") == c).orderBy("h").limit(most * (FINE_TIMES if c == FINE else 1)).toPandas() for c in (FINE, HARD, RESIDUE, VOID)], ignore_index=True)
     # where cases are rare, so many fine texts would drown them
-    fine = got[got["label"] == FINE].nsmallest(max(200, FINE_PER_CASE * int((got["label"] != FINE).sum())), "h")
-    return pd.concat([fine, got[got["label"] != FINE]])
+    usual = max(200, FINE_PER_CASE * int(got["label"].isin((RESIDUE, VOID)).sum()))
+    got = pd.concat([got[got["label"] == FINE].nsmallest(usual, "h"), got[got["label"] != FINE]])
+    return got.assign(label=got["label"].replace(HARD, FINE))
 
 
 def training_items(sample: pd.DataFrame) -> tuple[list[list[str]], list[int]]:
@@ -233,7 +243,8 @@ def training_items(sample: pd.DataFrame) -> tuple[list[list[str]], list[int]]:
             body = [x for x in parts if title_key(x) != own] or parts
             cut = body[h % len(body)]
             cut = cut[: max(8, h // 7 % (len(cut) + 1))]
-            for short in ([cut], body[:1], body[:2], [body[0], cut]):
+            at = h // 11 % len(body)
+            for short in ([cut], body[:1], body[:2], [body[0], cut], body[at : at + 3]):
                 n = sum(map(len, short))
                 items += [_features(x, False, n, len(short)) for x in short]
                 labels += [FINE] * len(short)
@@ -241,6 +252,7 @@ def training_items(sample: pd.DataFrame) -> tuple[list[list[str]], list[int]]:
 
 
 def _unseen(host: pd.Series) -> np.ndarray:
+    """Which hosts are kept out of the fit in validation."""
     return np.array([hash_of(h) % 5 == 0 for h in host], dtype=bool)
 
 
@@ -251,17 +263,37 @@ def hash_of(text: str | None) -> int:
     return crc32((text or "").encode("utf-8", "surrogatepass"))
 
 
-def fit_residue(texts: DataFrame, most: int = SAMPLE, held_out: bool = False) -> tuple[ResidueModel, dict[str, float]]:
-    """Fit the classifier; with held_out a fifth of the hosts is kept for checking and the second result has its figures."""
-    sample = labelled_sample(texts, most).sort_values(["label", "h", "text"]).reset_index(drop=True)
-    if not held_out:
-        return ResidueModel(fit(*training_items(sample), classes=3)), {}
-    unseen = _unseen(sample["host"])
-    model = ResidueModel(fit(*training_items(sample[~unseen]), classes=3))
-    rest = sample[unseen]
-    got = np.array([model.is_case(t, title, k) for t, title, k in zip(rest.text, rest.title, rest.kind)], dtype=bool)
-    want = (rest["label"] != FINE).to_numpy()
-    return model, {"texts": float(len(rest)), "recall": float((got & want).sum() / max(1, want.sum())), "precision": float((got & want).sum() / max(1, got.sum()))}
+def _fitted(sample: pd.DataFrame) -> ResidueModel:
+    return ResidueModel(fit(*training_items(sample), classes=3))
+
+
+def _sorted_sample(texts: DataFrame, most: int) -> pd.DataFrame:
+    return labelled_sample(texts, most).sort_values(["label", "h", "text"]).reset_index(drop=True)
+
+
+def fit_residue(texts: DataFrame, most: int = SAMPLE) -> ResidueModel:
+    """Fit the classifier to at most `most` labelled texts a class, of all hosts."""
+    return _fitted(_sorted_sample(texts, most))
+
+
+def validation(texts: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """(kind_of_case, hosts, texts, found, both, recall, precision) of the classifier on hosts it wasn't fitted to.
+
+    A fifth of the hosts, by hash, is kept out of the fit. Their labelled texts are judged by the
+    classifier alone, without the pattern that confirms residue, and held against the labels,
+    which the decision doesn't use. One row for "residue", "void" and "any"; shares without a
+    text are null.
+    """
+    sample = _sorted_sample(texts, most)
+    unseen = _unseen(sample["host"]) if len(sample) else np.zeros(0, dtype=bool)
+    model, rest = _fitted(sample[~unseen]), sample[unseen]
+    got = np.array([model.found(t, title, k) for t, title, k in zip(rest.text, rest.title, rest.kind)], dtype=int)
+    want = rest["label"].to_numpy(dtype=int)
+    rows = []
+    for name, g, w in (("residue", got == RESIDUE, want == RESIDUE), ("void", got == VOID, want == VOID), ("any", got > 0, want > 0)):
+        n, found, both = int(w.sum()), int(g.sum()), int((g & w).sum())
+        rows.append((name, int(rest["host"].nunique()), n, found, both, both / n if n else None, both / found if found else None))
+    return texts.sparkSession.createDataFrame(rows, "kind_of_case string, hosts bigint, texts bigint, found bigint, both bigint, recall double, precision double")
 
 
 def residue_cases(texts: DataFrame, model: ResidueModel, key: str = "grant_id") -> DataFrame:
@@ -285,5 +317,4 @@ def find_residue(grants: DataFrame, key: str = "grant_id") -> DataFrame:
     Null and empty texts are no cases; of repeated rows the pair comes out once.
     """
     texts = page_texts(grants, key)
-    model, _ = fit_residue(texts)
-    return residue_cases(texts, model, key)
+    return residue_cases(texts, fit_residue(texts), key)

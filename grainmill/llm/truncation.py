@@ -253,7 +253,7 @@ def find_cut(grants: DataFrame, raw_grants: DataFrame) -> DataFrame:
     """
     texts = stage(descriptions(grants, raw_grants), "descriptions")
     # the model of p1_found and p4_found, so no description is a case of problem 1 and cut as well
-    residue, _ = fit_residue(page_texts(grants))
+    residue = fit_residue(page_texts(grants))
     return cut_descriptions(texts, residue)
 
 

@@ -1,10 +1,11 @@
 """The main body of pages: furniture of the site is told from the program's own lines.
 
-In HTML, text length and punctuation are summed per root-to-leaf tag path and per block, the
-two ratios are fused and smoothed, and paths above a threshold hold the content. What those
-paths decide beyond doubt on a bounded sample of pages teaches a classifier of single lines;
-its scores are fused with the ratios of the path, and decide alone, smoothed along the lines,
-in pages kept as plain text, which have no tags left.
+In HTML, text length and punctuation are summed per root-to-leaf tag path, over all pages in
+Spark and per element within the page. The two ratios are smoothed over the leaves of each
+element and fused, and elements whose ratio passes a threshold hold the content. Only where an
+element lies close to the threshold are its lines asked as well: by a classifier of single
+lines, fitted to what the paths decide clearly on a bounded sample of pages. Pages kept as plain
+text have no tags left; there that classifier stands in for the paths, smoothed along the lines.
 """
 
 from __future__ import annotations
@@ -13,79 +14,113 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.linear import Softmax, fit, text_features
+from grainmill.llm.linear import Scorer, Softmax, fit, text_features
 from grainmill.llm.pages import Line, lines_of, page_texts, title_key
 from grainmill.llm.residue import ResidueModel, fit_residue
 
-#: HTML pages that the classifier of lines is fitted to (a bound on the sample).
-SAMPLE = 4000
-#: Ratio of a block from which it is surely content, up to which it is surely furniture; doubt between.
-CONTENT_RATIO, FURNITURE_RATIO = 3.0, 0.9
-#: Rounds in which the classifier of lines corrects the labels it was fitted to.
-ROUNDS = 2
+#: HTML pages that the classifier of lines is fitted to, and the longest of them (bounds on the sample).
+SAMPLE, LONGEST = 4000, 20_000
+#: Slots that tag paths are hashed into; the table of ratios has as many rows, whatever the number of pages.
+SLOTS = 1 << 14
+#: Weights of the ratios over all pages and within the page, and what the headline adds to its element.
+OVERALL, WITHIN, HEADLINE = 2.0, 0.25, 2.0
+#: Fused ratio from which an element holds content, and how near to it lies doubt.
+CONTENT, DOUBT = 0.6, 0.8
+#: Weight of the lines' mean log odds against the ratio, in doubt.
+LINES = 1.0
+#: Fits after the first, which learn from the elements in doubt as well, as the fit before decides them.
+ROUNDS, CLEAR = 2, 0.25
 #: Cost, in log odds, of changing between body and furniture from one line to the next.
-CHANGE = 1.0
+CHANGE = 0.75
 #: Lines of so few words say less by themselves: their odds count less.
 FEW_WORDS, FEW_COUNT = 2, 0.7
-#: Weight and bound of what the rest of a block says about a line.
-BLOCK_WEIGHT, BLOCK_MOST = 0.7, 3.0
-_PAUSE = re.compile(r"[.!?;:,]")
 _STOP = re.compile(r"[.!?](?:\s|$)")
 
 
-def _block(path: str) -> str:
-    """The path without its leaf."""
-    head, _, leaf = path.rpartition("/")
-    while head and leaf.split(".")[0] in ("a", "b", "i", "em", "strong", "u", "small"):
-        head, _, leaf = head.rpartition("/")
-    return head or path
+def path_slot(path: str) -> int:
+    """The slot of a tag path; classes and ids are left out, as sites make them up."""
+    return crc32("/".join(x.split(".", 1)[0] for x in path.split("/")).encode("utf-8", "surrogatepass")) % SLOTS
 
 
-def path_ratios(lines: list[Line]) -> list[float]:
-    """For each line the fused and smoothed ratio of its tag path.
+def ratio(nodes: float, chars: float, stops: float, linked: float) -> float:
+    """Mean text length of nodes, weighed by their sentence ends and by how much is no link."""
+    return (chars / nodes) * (0.1 + stops / nodes) * (1 - 0.6 * linked / max(1.0, chars))
+
+
+def _sizes(x: Line) -> tuple[int, int, int]:
+    return len(x.text), len(_STOP.findall(x.text)), x.linked
 
-    Each path and each block has the mean length of its nodes, weighed by how many sentences
-    they hold and how much of them is linked; the ratio compares that with the page's mean.
-    """
-    sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
-    for x in lines:
-        stops = len(_STOP.findall(x.text))
-        for p in (f"leaf {x.path}", f"block {_block(x.path)}"):
-            s = sums[p]
-            s[0] += len(x.text)
-            s[1] += stops * (len(x.text) > 40) + 0.1 * len(_PAUSE.findall(x.text))
-            s[2] += 1
-            s[3] += x.linked
-
-    def value(p: str) -> float:
-        length, pauses, n, linked = sums[p]
-        return (length / n / 40) * (0.3 + pauses / n) * (1 - 0.6 * linked / max(1.0, length))
-
-    raw = [math.sqrt(value(f"leaf {x.path}") * value(f"block {_block(x.path)}")) * 0.4 + value(f"block {_block(x.path)}") * 0.6 for x in lines]
-    # smoothing stays inside the block: its borders are what the paths tell best
-    out = []
-    for i, x in enumerate(lines):
-        near = [raw[j] for j in (i - 1, i, i + 1) if 0 <= j < len(lines) and _block(lines[j].path) == _block(x.path)]
-        out.append((raw[i] + sum(near) / len(near)) / 2)
-    return out
 
+def path_sums(texts: DataFrame) -> DataFrame:
+    """(slot, nodes, chars, stops, linked): sums per tag path over all HTML pages, added up per batch first."""
 
-def line_features(lines: list[Line], own: str) -> list[list[str]]:
-    """Features of each line: its words and shape, and how it stands to the headline."""
-    keys = [title_key(x.text) for x in lines]
-    heads = [i for i, k in enumerate(keys) if own and k == own]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sums: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+            for text in b.text:
+                for x in lines_of(text, "html"):
+                    s = sums[path_slot(x.path)]
+                    chars, stops, linked = _sizes(x)
+                    s[0] += 1
+                    s[1] += chars
+                    s[2] += stops
+                    s[3] += linked
+            yield pd.DataFrame([(k, *v) for k, v in sums.items()], columns=["slot", "nodes", "chars", "stops", "linked"])
+
+    parts = texts.where("kind = 'html'").select("text").mapInPandas(run, "slot int, nodes bigint, chars bigint, stops bigint, linked bigint")
+    return parts.groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("nodes", "chars", "stops", "linked")])
+
+
+class PathModel:
+    """The log ratio of each tag path against that of all nodes."""
+
+    def __init__(self, levels: np.ndarray, mean: float):
+        self.levels, self.mean = levels, mean
+
+    @classmethod
+    def of(cls, sums: pd.DataFrame) -> PathModel:
+        """From path_sums, at most SLOTS rows; without pages all paths are alike."""
+        levels = np.zeros(SLOTS, np.float32)
+        if not len(sums):
+            return cls(levels, 1.0)
+        mean = ratio(*map(float, sums[["nodes", "chars", "stops", "linked"]].sum()))
+        for slot, *rest in sums[["slot", "nodes", "chars", "stops", "linked"]].itertuples(index=False, name=None):
+            levels[slot] = math.log(max(1e-6, ratio(*rest)) / max(1e-6, mean))
+        return cls(levels, max(1e-6, mean))
+
+    def elements(self, lines: list[Line], own: str) -> list[tuple[list[int], float]]:
+        """The lines of each element of a page with its fused ratio, less the threshold: content from 0 on.
+
+        The ratio over all pages is smoothed over the element's leaves; the one within the page
+        is that of the element itself. The element of the headline gains HEADLINE.
+        """
+        by_node: dict[int, list[int]] = defaultdict(list)
+        for i, x in enumerate(lines):
+            by_node[x.node].append(i)
+        out = []
+        for at in by_node.values():
+            sizes = [_sizes(lines[i]) for i in at]
+            overall = sum(float(self.levels[path_slot(lines[i].path)]) for i in at) / len(at)
+            within = math.log(ratio(len(at), *map(sum, zip(*sizes))) / self.mean)
+            head = bool(own) and any(title_key(lines[i].text).startswith(own) for i in at)
+            out.append((at, OVERALL * overall + WITHIN * within + HEADLINE * head - CONTENT))
+        return out
+
+
+def line_shapes(lines: list[Line], own: str) -> list[tuple[str, ...]]:
+    """Features of each line beside its words: its size and how it stands to the headline."""
+    keys = [title_key(x.text) for x in lines] if own else []
+    heads = [i for i, k in enumerate(keys) if k == own]
     out = []
     for i, x in enumerate(lines):
-        f = text_features(x.text)
-        n = len(x.text)
-        f.append(f"#len{min(8, n // 25)}")
-        f.append(f"#stops{min(4, len(_STOP.findall(x.text)))}")
+        f = [f"#len{min(8, len(x.text) // 25)}", f"#stops{min(4, len(_STOP.findall(x.text)))}"]
         if own and keys[i] == own:
             f += ["#headline", "#headline again" if i != heads[0] else "#headline first"]
         elif own and own in keys[i]:
@@ -94,47 +129,21 @@ def line_features(lines: list[Line], own: str) -> list[list[str]]:
             f.append("#before" if i < heads[0] else "#after")
         if x.text[0] in "-*•+·»›|©":
             f.append("#sign" + x.text[0])
-        out.append(f)
+        out.append(tuple(f))
     return out
 
 
-def sure_labels(lines: list[Line], own: str) -> list[int | None]:
-    """What the tag paths decide beyond doubt: 1 furniture, 0 body, None in doubt.
-
-    The block of the headline is body; others are by their ratio.
-    """
-    ratios = path_ratios(lines)
-    by_block: dict[str, list[int]] = defaultdict(list)
-    for i, x in enumerate(lines):
-        by_block[_block(x.path)].append(i)
-    heads = {_block(x.path) for x in lines if own and title_key(x.text) == own}
-    out: list[int | None] = [None] * len(lines)
-    for block, at in by_block.items():
-        level = max(ratios[i] for i in at)
-        label = 0 if block in heads or level >= CONTENT_RATIO else 1 if level <= FURNITURE_RATIO else None
-        for i in at:
-            out[i] = label
-    return out if 0 in out else [None] * len(lines)
-
-
 class LineModel:
     """Decides which lines of a page are furniture."""
 
-    def __init__(self, classifier: Softmax):
-        self.classifier = classifier
-        self.kept: dict[tuple, float] = {}
+    def __init__(self, paths: PathModel, classifier: Softmax):
+        self.paths, self.classifier = paths, classifier
+        self.scorer = Scorer(classifier)
 
-    def odds(self, features: list[str], text: str) -> float:
+    def odds(self, text: str, shape: tuple[str, ...]) -> float:
         """Log odds that a line is furniture."""
-        k = (text if len(text) < 200 else hash(text), features[-1], features[-2], features[-3])
-        got = self.kept.get(k)
-        if got is None:
-            p = float(self.classifier.probabilities(features)[1])
-            got = max(-6.0, min(6.0, math.log(max(p, 1e-9) / max(1 - p, 1e-9))))
-            if len(self.kept) > 100_000:
-                self.kept.clear()
-            self.kept[k] = got
-        return got
+        p = self.scorer.probabilities(text, shape)[1]
+        return max(-6.0, min(6.0, math.log(max(p, 1e-9) / max(1 - p, 1e-9))))
 
     def furniture(self, text: str, title: str, kind: str) -> list[int]:
         """Numbers of the furniture lines; none if the text has no body but its headline."""
@@ -142,41 +151,37 @@ class LineModel:
         if len(lines) < 2:
             return []
         own = title_key(title)
-        odds = [self.odds(f, x.text) for f, x in zip(line_features(lines, own), lines)]
         own_line = [bool(own) and title_key(x.text) == own for x in lines]
+        hit = self.by_paths(lines, own) if kind == "html" else self.by_lines(lines, own, own_line)
+        body = [i for i, x in enumerate(hit) if not x and not own_line[i]]
+        return [lines[i].number for i, x in enumerate(hit) if x and not own_line[i]] if body else []
+
+    def elements(self, lines: list[Line], shapes: list[tuple[str, ...]], own: str) -> list[tuple[list[int], float]]:
+        """The lines of each element with its ratio less the threshold; in doubt the lines are asked as well."""
+        out = []
+        for at, over in self.paths.elements(lines, own):
+            if abs(over) < DOUBT:
+                over -= LINES * sum(self.odds(lines[i].text, shapes[i]) for i in at) / len(at)
+            out.append((at, over))
+        return out
+
+    def by_paths(self, lines: list[Line], own: str) -> list[bool]:
+        """Whether each line of an HTML page hangs in an element below the threshold."""
+        hit = [False] * len(lines)
+        for at, over in self.elements(lines, line_shapes(lines, own), own):
+            for i in at:
+                hit[i] = over < 0
+        return hit
+
+    def by_lines(self, lines: list[Line], own: str, own_line: list[bool]) -> list[bool]:
+        """The same for plain text, which has no paths: by its lines alone."""
+        odds = [self.odds(x.text, f) for x, f in zip(lines, line_shapes(lines, own))]
         for i, is_own in enumerate(own_line):
             if is_own:
                 odds[i] = -6.0
             elif lines[i].text.count(" ") < FEW_WORDS:
                 odds[i] *= FEW_COUNT
-        if kind == "html":
-            odds = fuse_blocks(lines, odds)
-            hit = [o > 0 for o in odds]
-        else:
-            hit = smooth(odds)
-        body = [i for i, x in enumerate(hit) if not x and not own_line[i]]
-        return [lines[i].number for i, x in enumerate(hit) if x and not own_line[i]] if body else []
-
-
-def fuse_blocks(lines: list[Line], odds: list[float]) -> list[float]:
-    """The odds of each line fused with the path ratio and the other lines of its block.
-
-    A block that returns later in the page under the same path is looked at anew.
-    """
-    ratios, by_block, runs, last = path_ratios(lines), defaultdict(list), 0, None
-    for i, x in enumerate(lines):
-        b = _block(x.path)
-        runs += b != last
-        last = b
-        by_block[runs].append(i)
-    out = list(odds)
-    for at in by_block.values():
-        level = math.log(max(1e-2, max(ratios[i] for i in at)) / math.sqrt(CONTENT_RATIO * FURNITURE_RATIO))
-        for i in at:
-            rest = [odds[j] for j in at if j != i]
-            said = (sum(rest) / len(rest) if rest else 0.0) - level
-            out[i] = odds[i] + BLOCK_WEIGHT * max(-BLOCK_MOST, min(BLOCK_MOST, said))
-    return out
+        return smooth(odds)
 
 
 def smooth(odds: list[float]) -> list[bool]:
@@ -195,37 +200,45 @@ def smooth(odds: list[float]) -> list[bool]:
 
 
 def fit_lines(texts: DataFrame, most: int = SAMPLE) -> LineModel:
-    """Fit the classifier of lines to what the tag paths of a sample of HTML pages decide.
+    """Sum the tag paths of all pages, and fit the classifier of lines to what they decide clearly on a sample.
 
-    Without HTML pages the classifier knows nothing and every line has even odds, which keeps
-    plain texts whole.
+    A sieve by hash lets through about `most` pages of up to LONGEST characters, whatever their
+    number. Without HTML pages the classifier knows nothing and every line has even odds, which
+    keeps plain texts whole.
     """
-    pages = texts.where("kind = 'html'").withColumn("h", F.xxhash64("title", "text")).orderBy("h").limit(most).select("title", "text").toPandas()
+    paths = PathModel.of(path_sums(texts).toPandas())
+    pages = texts.where("kind = 'html'").where(F.length("text") <= LONGEST).select("title", "text", F.xxhash64("title", "text").alias("h"))
+    rate = min(1.0, most / max(1, pages.count()))
+    sample = pages.where(F.pmod("h", F.lit(1_000_000)) < F.lit(round(rate * 1_000_000))).toPandas()
     known = []
-    for title, text in pages.itertuples(index=False, name=None):
+    for title, text, _ in sample.sort_values(["h", "title", "text"]).itertuples(index=False, name=None):
         lines, own = lines_of(text, "html"), title_key(title)
-        if len(lines) >= 3:
-            known.append((lines, line_features(lines, own), sure_labels(lines, own)))
-    pairs = [(f, y) for _, fs, ys in known for f, y in zip(fs, ys) if y is not None]
-    if len({y for _, y in pairs}) < 2:
-        return LineModel(fit([], [], classes=2))
-    model = LineModel(fit([f for f, _ in pairs], [y for _, y in pairs], classes=2))
+        shapes = line_shapes(lines, own)
+        known.append((lines, shapes, [[*text_features(x.text), *f] for x, f in zip(lines, shapes)], own))
+
+    def fitted(elements: list[list[tuple[list[int], float]]], clear: float) -> LineModel:
+        items, labels = [], []
+        for (_, shapes, features, _), parts in zip(known, elements):
+            for at, over in parts:
+                if abs(over) >= clear:
+                    items += [features[i] for i in at]
+                    labels += [int(over < 0 and "#headline" not in shapes[i]) for i in at]
+        return LineModel(paths, fit(items if len(set(labels)) > 1 else [], labels, classes=2, passes=5, decay=1e-5))
+
+    model = fitted([paths.elements(lines, own) for lines, _, _, own in known], DOUBT)
     for _ in range(ROUNDS):
-        pairs = []
-        for lines, fs, _ in known:
-            fused = fuse_blocks(lines, [model.odds(f, x.text) for f, x in zip(fs, lines)])
-            pairs += [(f, int(o > 0 and "#headline" not in f)) for f, o in zip(fs, fused) if abs(o) > 0.5]
-        model = LineModel(fit([f for f, _ in pairs], [y for _, y in pairs], classes=2))
+        model = fitted([model.elements(lines, shapes, own) for lines, shapes, _, own in known], CLEAR)
     return model
 
 
 def furniture_lines(texts: DataFrame, lines: LineModel, residue: ResidueModel, key: str = "grant_id") -> DataFrame:
     """(key, field, line_no): the furniture of every text that holds a main body too."""
     context = texts.sparkSession.sparkContext
-    line_weights, residue_weights = context.broadcast(lines.classifier.weights), context.broadcast(residue.classifier.weights)
+    line_weights, residue_weights = context.broadcast((lines.paths.levels, lines.paths.mean, lines.classifier.weights)), context.broadcast(residue.classifier.weights)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, other = LineModel(Softmax(line_weights.value)), ResidueModel(Softmax(residue_weights.value))
+        levels, mean, weights = line_weights.value
+        model, other = LineModel(PathModel(levels, mean), Softmax(weights)), ResidueModel(Softmax(residue_weights.value))
         for b in batches:
             keys, fields, numbers = [], [], []
             for k, title, field, kind, text in b[["gm_key", "title", "field", "kind", "text"]].itertuples(index=False, name=None):

@@ -13,6 +13,8 @@ _TAGS = "html|head|body|title|meta|link|style|script|noscript|div|p|span|li|ul|o
 TAG = re.compile(rf"(?<!<)<(/?)({_TAGS})\b([^<>]*)>", re.I)
 _CLASS = re.compile(r"""\b(?:class|id)\s*=\s*["']?([^"'>]*)""", re.I)
 _VOID = {"br", "hr", "img", "input", "meta", "link"}
+#: Tags that only dress a piece of text: what holds them is the leaf or the node.
+_DRESS = {"a", "b", "i", "em", "strong", "u", "small", "span", "li", "p"}
 
 
 def page_texts(grants: DataFrame, key: str = "grant_id") -> DataFrame:
@@ -47,6 +49,7 @@ class Line(NamedTuple):
     text: str
     path: str  # tags and classes from the root to the leaf; empty in plain text
     linked: int  # characters inside links
+    node: int = 0  # which element of the page holds the leaf
 
 
 def lines_of(text: str, kind: str) -> list[Line]:
@@ -57,9 +60,9 @@ def lines_of(text: str, kind: str) -> list[Line]:
     """
     if kind != "html":
         return [Line(i, s, "", 0) for i, x in enumerate(text.split("\n"), 1) if (s := x.strip())]
-    out, stack, links = [], [], 0
+    out, stack, nodes, links, count = [], [], [0], 0, 0
     for i, raw in enumerate(text.split("\n"), 1):
-        shown, path, linked, at = [], None, 0, 0
+        shown, path, linked, at, node = [], None, 0, 0, 0
         for m in [*TAG.finditer(raw), None]:
             piece = raw[at : m.start() if m else len(raw)]
             if piece.strip():
@@ -68,11 +71,17 @@ def lines_of(text: str, kind: str) -> list[Line]:
                 linked += len(s.strip()) if links else 0
                 if path is None:
                     path = "/".join(stack)
+                    # the leaf is the first element that is no mere dress; its parent holds it
+                    k = len(stack)
+                    while k > 1 and stack[k - 1].split(".")[0] in _DRESS:
+                        k -= 1
+                    node = nodes[max(0, k - 1 if k == len(stack) else k)]
             if m is None:
                 break
             at, name = m.end(), m[2].lower()
             if m[1]:
                 while stack:
+                    nodes.pop()
                     top = stack.pop().split(".")[0]
                     links -= top == "a"
                     if top == name:
@@ -80,7 +89,9 @@ def lines_of(text: str, kind: str) -> list[Line]:
             elif name not in _VOID and not m[3].rstrip().endswith("/"):
                 c = _CLASS.search(m[3])
                 stack.append(name + ("." + c[1].strip().replace(" ", ".") if c and c[1].strip() else ""))
+                count += 1
+                nodes.append(count)
                 links += name == "a"
         if shown:
-            out.append(Line(i, " ".join(" ".join(shown).split()), path or "", linked))
+            out.append(Line(i, " ".join(" ".join(shown).split()), path or "", linked, node))
     return out

@@ -117,7 +117,7 @@ def fit(items: list[list[str]], labels: list[int], classes: int, passes: int = 1
     """Fit by adaptive gradient steps with weight decay; classes count alike however rare they are.
 
     A pass takes at least about 60 steps, so that small samples are learned as well. The result depends on the items and the seed only. Without items, or with items of one
-    class, the classifier returns that class's prior.
+    class, the classifier returns that class's prior. Items have at least one feature each.
     """
     weights, seen = np.zeros((1 << BITS, classes), np.float32), np.full((1 << BITS, classes), 1e-3, np.float32)
     if not items:
@@ -126,24 +126,25 @@ def fit(items: list[list[str]], labels: list[int], classes: int, passes: int = 1
     share = np.bincount(y, minlength=classes).astype(np.float64)
     cost = np.where(share > 0, len(y) / (np.maximum(share, 1) * (share > 0).sum()), 0.0)
     cost = cost**0.75
-    slots = [np.array([_slot(f) for f in x], np.int64) for x in items]
-    scale = np.array([1 / math.sqrt(len(x) or 1) for x in items], np.float32)
+    sizes = np.array([len(x) for x in items])
+    slots = np.fromiter((_slot(f) for x in items for f in x), np.int64, int(sizes.sum()))
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    scale = (1 / np.sqrt(np.maximum(sizes, 1))).astype(np.float32)
     order, batch = np.random.default_rng(seed), min(batch, max(16, len(items) // 60))
     for _ in range(passes):
         for part in np.array_split(order.permutation(len(items)), max(1, len(items) // batch)):
-            flat = np.concatenate([slots[i] for i in part])
-            at = np.repeat(np.arange(len(part)), [len(slots[i]) for i in part])
+            n = sizes[part]
+            first = np.cumsum(n) - n
+            flat = slots[np.arange(int(n.sum())) + np.repeat(starts[part] - first, n)]
             s = scale[part]
-            z = np.zeros((len(part), classes), np.float32)
-            np.add.at(z, at, weights[flat])
-            z *= s[:, None]
+            z = np.add.reduceat(weights[flat], first, axis=0) * s[:, None]
             z = np.exp(z - z.max(axis=1, keepdims=True))
             z /= z.sum(axis=1, keepdims=True)
             z[np.arange(len(part)), y[part]] -= 1
             z *= (cost[y[part]].astype(np.float32) * s)[:, None]
             used, where = np.unique(flat, return_inverse=True)
-            g = np.zeros((len(used), classes), np.float32)
-            np.add.at(g, where, z[at])
+            spread = np.repeat(z, n, axis=0)
+            g = np.stack([np.bincount(where, weights=spread[:, c], minlength=len(used)) for c in range(classes)], axis=1).astype(np.float32)
             g = g / len(part) + decay * weights[used]
             seen[used] += g * g
             weights[used] -= rate * g / np.sqrt(seen[used])

@@ -12,7 +12,7 @@ from grainmill.llm.mixture import mix, share_report, sized
 from grainmill.llm.pages import page_texts
 from grainmill.llm.residue import find_residue, validation
 from grainmill.llm.survivors import best_records
-from grainmill.llm.truncation import cut_rates, find_cut
+from grainmill.llm.truncation import cut_rates, cut_reasons, find_cut
 from grainmill.runtime import table
 
 #: How strongly the weights of the curriculum change over the run.
@@ -40,6 +40,11 @@ def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
     return cut_rates(find_cut(table(spark, folder, "grants"), table(spark, folder, "raw_grants")))
 
 
+def p3_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """How many descriptions are told to be cut by a spike, a mark or their ending."""
+    return cut_reasons(find_cut(table(spark, folder, "grants"), table(spark, folder, "raw_grants")))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of furniture in descriptions and pages."""
     return find_furniture(table(spark, folder, "grants")).select("grant_id", "field", "line_no")
@@ -81,4 +86,4 @@ def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict:
     """Name -> callable of this module's queries."""
-    return {f.__name__: f for f in (p1_found, p1_validation, p3_found, p3_rates, p4_found, p5_found, p6_found, p8_ids, p9_mix, p9_shares, p10_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_validation, p3_found, p3_rates, p3_reasons, p4_found, p5_found, p6_found, p8_ids, p9_mix, p9_shares, p10_pieces)}

@@ -149,20 +149,32 @@ def ending_counts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ends, counted.where("is_word").select(F.col("key").alias("word"), F.col("whole").alias("uses"))
 
 
+#: Distinct segments per range of the sorted ones.
+RANGE_ROWS = 100_000
+#: Sorts after every text that begins with what stands before it.
+_BEHIND = "\U0010ffff"
+
+
 def continuations(counts: DataFrame) -> DataFrame:
     """(skeleton, goes_on): how often the letters of an open end are followed by more, over all segments.
 
-    Every distinct segment gives, for each of its words, the words before it, the word, and
-    how often the segment ends there; an open end meets those with the same words before its
-    own last one, which may be the beginning of a longer word.
+    The segments that go on from an end are those between the end itself and the last text that
+    begins with it, in sorted order; two marks per end and a running count over the sorted
+    distinct segments tell how many there are. Ranges of the order are counted apart and
+    offset, so no task holds more than a range, and a segment of any length is one row.
     """
-    words = counts.select(F.split("skeleton", " ").alias("w"), (F.col("whole") + F.col("open")).alias("n"))
-    steps = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.struct(F.array_join(F.slice("w", 1, i - 1), " ").alias("head"), F.element_at("w", i).alias("next"), (i == F.size("w")).alias("final")))).alias("s"), "n")
-    steps = steps.groupBy("s.head", "s.next").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("s.final"), F.col("n")).otherwise(0)).alias("n_final"))
-    ends = counts.where("open > 0").select("skeleton", F.regexp_extract("skeleton", r"^(?:(.*) )?[^ ]*$", 1).alias("head"), F.regexp_extract("skeleton", r"([^ ]*)$", 1).alias("part"))
-    letter = lambda c: F.substring(c, 1, 1)
-    met = ends.withColumn("letter", letter("part")).join(steps.withColumn("letter", letter("next")), ["head", "letter"]).where(F.col("next").startswith(F.col("part")))
-    return met.groupBy("skeleton").agg(F.sum(F.when(F.col("next") == F.col("part"), F.col("n") - F.col("n_final")).otherwise(F.col("n"))).alias("goes_on"))
+    n = (F.col("whole") + F.col("open")).alias("n")
+    rows = counts.select("skeleton", F.col("skeleton").alias("at"), F.lit(0).alias("mark"), n)
+    ends = counts.where("open > 0 and skeleton <> ''").select("skeleton", F.explode(F.array(F.struct(F.col("skeleton").alias("at"), F.lit(1).alias("mark")), F.struct(F.concat("skeleton", F.lit(_BEHIND)).alias("at"), F.lit(2).alias("mark")))).alias("x"))
+    rows = rows.unionByName(ends.select("skeleton", "x.at", "x.mark", F.lit(0).cast("bigint").alias("n")))
+    ranges = max(1, counts.count() // RANGE_ROWS)
+    rows = stage(rows.repartitionByRange(ranges, "at").withColumn("part", F.spark_partition_id()), "sorted-segments")
+    before = rows.groupBy("part").agg(F.sum("n").alias("total"))
+    before = before.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("offset"))  # a row per range
+    running = F.sum("n").over(Window.partitionBy("part").orderBy("at", "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    marks = rows.withColumn("upto", running).where("mark > 0").join(broadcast_if_few(before), "part")
+    upto = F.col("upto") + F.col("offset")
+    return marks.groupBy("skeleton").agg((F.max(F.when(F.col("mark") == 2, upto)) - F.max(F.when(F.col("mark") == 1, upto))).alias("goes_on"))
 
 
 def _ends(texts: DataFrame) -> DataFrame:
@@ -204,7 +216,12 @@ def _residue_among(texts: DataFrame, keys: DataFrame, residue: ResidueModel) ->
 
 
 def cut_descriptions(texts: DataFrame, residue: ResidueModel) -> DataFrame:
-    """All texts that are not blank with `cut`: whether they stop before they end.
+    """All texts that are not blank with `cut`, whether they stop before they end, and `reason`: what told it.
+
+    "spike": at a length where the texts of the source pile up, without terminal punctuation, or
+    with a sentence that hardly ever ends a paragraph. "mark": a mark of the cutting stands at
+    the end. "ending": the last words go on elsewhere and don't stand alone, or the last word is
+    torn; transfers that broke off leave no spike. Null where the text is whole.
 
     Cases of residue are not cut; only texts that would be are asked. Rows of a source that is
     null count as one source of their own.
@@ -231,18 +248,19 @@ def cut_descriptions(texts: DataFrame, residue: ResidueModel) -> DataFrame:
     # a word that only ends texts is a closing ("Watch this space ...") only where its letters never go on
     closing = (F.col("open") >= WHOLE_TIMES) & (F.col("goes_on") < 1)
     torn = (F.col("word") != "") & (F.col("uses") < 1) & ~F.col("is_title") & ~closing
-    cut = (
-        F.when(F.col("mark") == 2, F.lit(True))
-        .when(F.col("mark") == 1, ~alone | F.col("ended") | torn)
-        .when(F.col("ended"), F.col("spike") & (F.col("whole") >= 20) & (F.col("last") < LAST_SHARE * F.col("whole")))
-        .when(F.col("is_title"), F.lit(False))
-        .when(F.col("spike"), F.lit(True))
-        .otherwise(~whole | torn)
+    # spikes first: there the lack of terminal punctuation decides; what the histograms can't see comes after
+    reason = (
+        F.when(F.col("spike") & ~F.col("ended") & ~F.col("is_title") & (F.col("mark") == 0), F.lit("spike"))
+        .when(F.col("spike") & F.col("ended") & (F.col("mark") == 0), F.when((F.col("whole") >= 20) & (F.col("last") < LAST_SHARE * F.col("whole")), F.lit("spike")))
+        .when(F.col("mark") == 2, F.lit("mark"))
+        .when(F.col("mark") == 1, F.when(~alone | F.col("ended") | torn, F.lit("mark")))
+        .when(~F.col("ended") & ~F.col("is_title"), F.when(~whole | torn, F.lit("ending")))
     )
-    found = stage(ends.withColumn("gm_cut", cut), "found")
-    void = _residue_among(texts, found.where("gm_cut").select("record_table", "record_id"), residue).withColumn("gm_void", F.lit(True))
+    found = stage(ends.withColumn("reason", reason), "found")
+    void = _residue_among(texts, found.where("reason is not null").select("record_table", "record_id"), residue).withColumn("gm_void", F.lit(True))
     found = found.join(void, ["record_table", "record_id"], "left")
-    return found.withColumn("cut", F.col("gm_cut") & F.col("gm_void").isNull()).drop("gm_cut", "gm_void")
+    found = found.withColumn("reason", F.when(F.col("gm_void").isNull(), F.col("reason"))).drop("gm_void")
+    return found.withColumn("cut", F.col("reason").isNotNull())
 
 
 def find_cut(grants: DataFrame, raw_grants: DataFrame) -> DataFrame:
@@ -257,6 +275,11 @@ def find_cut(grants: DataFrame, raw_grants: DataFrame) -> DataFrame:
     return cut_descriptions(texts, residue)
 
 
+def cut_reasons(found: DataFrame) -> DataFrame:
+    """Per table and reason how many descriptions are cut."""
+    return found.where("cut").groupBy("record_table", "reason").agg(F.count("*").alias("cut"))
+
+
 def cut_rates(found: DataFrame) -> DataFrame:
     """Per source the number of descriptions that say something, those cut and their share."""
     return found.groupBy("source_name").agg(F.count("*").alias("descriptions"), F.count_if("cut").alias("cut"), (F.count_if("cut") / F.count("*")).alias("share"))

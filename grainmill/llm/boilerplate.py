@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.linear import Scorer, Softmax, fit, text_features
+from grainmill.llm.linear import Scorer, Softmax, fit, slots_of, text_features
 from grainmill.llm.pages import Line, lines_of, page_texts, title_key
 from grainmill.llm.residue import ResidueModel, fit_residue
 
@@ -214,7 +214,7 @@ def fit_lines(texts: DataFrame, most: int = SAMPLE) -> LineModel:
     for title, text, _ in sample.sort_values(["h", "title", "text"]).itertuples(index=False, name=None):
         lines, own = lines_of(text, "html"), title_key(title)
         shapes = line_shapes(lines, own)
-        known.append((lines, shapes, [[*text_features(x.text), *f] for x, f in zip(lines, shapes)], own))
+        known.append((lines, shapes, [slots_of([*text_features(x.text), *f]) for x, f in zip(lines, shapes)], own))
 
     def fitted(elements: list[list[tuple[list[int], float]]], clear: float) -> LineModel:
         items, labels = [], []

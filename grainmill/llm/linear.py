@@ -25,6 +25,11 @@ def _slot(feature: str) -> int:
     return crc32(feature.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
 
 
+def slots_of(features: list[str]) -> np.ndarray:
+    """The slots of features, which is all that a fit keeps of an item."""
+    return np.fromiter(map(_slot, features), np.int32, len(features))
+
+
 def form_of(text: str) -> str:
     """A text with names as one word, digits as 9 and bare zeros as a word, in lower case: all that its features depend on."""
     form = NAMES.sub("Nn", text)
@@ -90,12 +95,19 @@ class Scorer:
 
     def __init__(self, classifier: Softmax, most: int = 200_000):
         self.classifier, self.most = classifier, most
+        self.forms: dict[str, str] = {}
         self.sums: dict[str, tuple[np.ndarray, int]] = {}
         self.got: dict[tuple, tuple[float, ...]] = {}
 
     def probabilities(self, text: str, more: tuple[str, ...]) -> tuple[float, ...]:
         """The probability of each class for a text with further features."""
-        form = form_of(text)
+        form = self.forms.get(text)
+        if form is None:
+            form = form_of(text)
+            if len(text) < 400:  # long texts seldom come again
+                if len(self.forms) > self.most:
+                    self.forms.clear()
+                self.forms[text] = form
         k = (form, more)
         got = self.got.get(k)
         if got is None:
@@ -108,26 +120,29 @@ class Scorer:
                 known = (self.classifier.total(features), len(features))
             p = softmax(known[0] + self.classifier.total(list(more)), known[1] + len(more)) if more else softmax(*known)
             got = tuple(map(float, p))
-            if len(form) < 400:  # long texts seldom come again
+            if len(form) < 400:
                 self.sums[form], self.got[k] = known, got
         return got
 
 
-def fit(items: list[list[str]], labels: list[int], classes: int, passes: int = 10, batch: int = 512, rate: float = 0.5, decay: float = 1e-4, seed: int = 7) -> Softmax:
+def fit(items: list, labels: list[int], classes: int, times: list[float] | None = None, passes: int = 10, batch: int = 512, rate: float = 0.5, decay: float = 1e-4, seed: int = 7) -> Softmax:
     """Fit by adaptive gradient steps with weight decay; classes count alike however rare they are.
 
-    A pass takes at least about 60 steps, so that small samples are learned as well. The result depends on the items and the seed only. Without items, or with items of one
-    class, the classifier returns that class's prior. Items have at least one feature each.
+    Items are lists of features, or slots_of them, at least one each; `times` weighs them.
+    A pass takes at least about 60 steps, so that small samples are learned as well. The result
+    depends on the items and the seed only. Without items, or with items of one class, the
+    classifier returns that class's prior.
     """
     weights, seen = np.zeros((1 << BITS, classes), np.float32), np.full((1 << BITS, classes), 1e-3, np.float32)
     if not items:
         return Softmax(weights)
     y = np.array(labels)
-    share = np.bincount(y, minlength=classes).astype(np.float64)
-    cost = np.where(share > 0, len(y) / (np.maximum(share, 1) * (share > 0).sum()), 0.0)
-    cost = cost**0.75
+    much = np.ones(len(y)) if times is None else np.array(times, np.float64) * len(y) / max(1e-9, float(np.sum(times)))
+    share = np.bincount(y, weights=much, minlength=classes)
+    cost = np.where(share > 0, len(y) / (np.maximum(share, 1e-3) * (share > 0).sum()), 0.0)
+    cost = ((cost**0.75)[y] * much).astype(np.float32)
     sizes = np.array([len(x) for x in items])
-    slots = np.fromiter((_slot(f) for x in items for f in x), np.int64, int(sizes.sum()))
+    slots = np.concatenate([x if isinstance(x, np.ndarray) else slots_of(x) for x in items]).astype(np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     scale = (1 / np.sqrt(np.maximum(sizes, 1))).astype(np.float32)
     order, batch = np.random.default_rng(seed), min(batch, max(16, len(items) // 60))
@@ -141,7 +156,7 @@ def fit(items: list[list[str]], labels: list[int], classes: int, passes: int = 1
             z = np.exp(z - z.max(axis=1, keepdims=True))
             z /= z.sum(axis=1, keepdims=True)
             z[np.arange(len(part)), y[part]] -= 1
-            z *= (cost[y[part]].astype(np.float32) * s)[:, None]
+            z *= (cost[part] * s)[:, None]
             used, where = np.unique(flat, return_inverse=True)
             spread = np.repeat(z, n, axis=0)
             g = np.stack([np.bincount(where, weights=spread[:, c], minlength=len(used)) for c in range(classes)], axis=1).astype(np.float32)

@@ -42,6 +42,11 @@ def title_key(text: str) -> str:
     return re.sub(r"[\W_]+", "", text.lower())
 
 
+def is_title(text: str, own: str) -> bool:
+    """Whether a text is the title with this key and nothing else."""
+    return bool(own) and len(own) <= len(text) <= 2 * len(own) + 30 and title_key(text) == own
+
+
 class Line(NamedTuple):
     """A line of a page with the text it shows and where it hangs in the page."""
 

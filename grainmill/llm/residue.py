@@ -13,14 +13,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from math import sqrt
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.linear import Scorer, Softmax, fit, text_features
-from grainmill.llm.pages import page_texts, title_key, without_tags
+from grainmill.llm.linear import Scorer, Softmax, fit, form_features, form_of, slots_of
+from grainmill.llm.pages import is_title, page_texts, title_key, without_tags
 from grainmill.runtime import stage
 
 #: Labelled texts per class that the classifier is fitted to (a bound on the sample); of fine ones so many times more.
@@ -103,16 +105,24 @@ SCRIPTS = (
 )
 _VOID_WORDS = re.compile(f"(?i:{STATUS}|{STUBS}|{ERRORS}|{SCRIPTS})", re.M)
 #: One of these stands in every void phrase; a cheap test before the patterns.
-_HINTS = re.compile(
+HINTS = (
     "here|soon|follow|to be |replace|draft|max |needed|todo|tbd|placeholder|your content|text block|lorem|ipsum|dummy|do not remove|pending|error|forbidden|found|gone|gateway|unavailable|unauthorized|requests|denied|timeout|"
     "<h1>|not |exist|cannot|moved|deleted|removed|taken down|expired|reach|load|wrong|fatal|uncaught|timed|time out|disconnect|traceback|exception|sql|stack trace|rate limit|blocked|maintenance|being built|temporarily|encontrada|servidor|denegado|intente|script|js|active content|browser|please wait|prove that"
 )
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=1)
+def _hints() -> ahocorasick.Automaton:
+    got = ahocorasick.Automaton()
+    for h in HINTS.split("|"):
+        got.add_word(h, h)
+    got.make_automaton()
+    return got
+
+
 def is_void_phrase(text: str) -> bool:
     """Whether a response status or a phrase stands in a text that takes the place of content (a weak label)."""
-    return _HINTS.search(text.lower()) is not None and _VOID_WORDS.search(text) is not None
+    return next(_hints().iter(text.lower()), None) is not None and _VOID_WORDS.search(text) is not None
 
 
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
@@ -131,6 +141,11 @@ def repeated_words(text: str) -> bool:
     return len(words) > 1 and len(set(words)) <= max(1, min(2, len(words) // 2))
 
 
+@lru_cache(maxsize=100_000)
+def _is_void(sentence: str) -> bool:
+    return is_void_phrase(sentence) or repeated_words(sentence) or sentence.lower().count("ipsum") > 1
+
+
 #: Label of a fine text in which a phrase stands all the same.
 HARD = 3
 
@@ -140,24 +155,20 @@ def weak_label(text: str, title: str, kind: str) -> int | None:
     if has_placeholder(text):
         return RESIDUE
     own = title_key(title)
-    parts = [x for x in sentences_of(text, kind) if title_key(x) != own]
+    parts = [x for x in sentences_of(text, kind) if not is_title(x, own)]
     if not parts:
         return FINE
     total = sum(map(len, parts))
-    void = sum(len(x) for x in parts if is_void_phrase(x) or repeated_words(x) or x.lower().count("ipsum") > 1)
+    void = sum(len(x) for x in parts if _is_void(x))
     if void >= 0.4 * total and total <= SHORT or void >= 0.8 * total:
         return VOID
     return (HARD if void else FINE) if void <= 0.2 * total and total > 60 else None
 
 
-def _shape(is_title: bool, text_size: int, count: int) -> tuple[str, ...]:
+def _shape(named: bool, text_size: int, count: int) -> tuple[str, ...]:
     """Features of the text around a sentence."""
     out = (f"#text{min(6, text_size // 100)}", f"#of{min(4, count)}")
-    return (*out, "#title") if is_title else out
-
-
-def _features(sentence: str, is_title: bool, text_size: int, count: int) -> list[str]:
-    return [*text_features(sentence), *_shape(is_title, text_size, count)]
+    return (*out, "#title") if named else out
 
 
 class ResidueModel:
@@ -172,11 +183,12 @@ class ResidueModel:
         parts = sentences_of(text, kind)
         own = title_key(title)
         size, residue, void, total, plain = sum(map(len, parts)), 0.0, 0, 0, 0
+        shapes = [_shape(named, size, len(parts)) for named in (False, True)]
         for s in parts:
-            is_title = bool(own) and title_key(s) == own
-            _, r, v = self.scorer.probabilities(s, _shape(is_title, size, len(parts)))
+            named = is_title(s, own)
+            _, r, v = self.scorer.probabilities(s, shapes[named])
             residue = max(residue, r)
-            if not is_title:
+            if not named:
                 n = len(s)
                 total += n
                 if v < SURELY_FINE:
@@ -206,13 +218,17 @@ def labelled_sample(texts: DataFrame, most: int = SAMPLE) -> pd.DataFrame:
     Fine texts in which a phrase stands are a class of their own here, as they teach most.
     """
 
+    known = texts.count()
+    rate = min(1.0, SIEVE * most / max(1, known))
+    # of fine texts there are plenty: a second sieve lets through twice what is wanted
+    fine = round(min(1.0, 2 * FINE_TIMES * most / max(1.0, rate * known)) * 65_536)
+
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [weak_label(t, title, k) for t, title, k in zip(b.text, b.title, b.kind)]
-            kept = pd.Series(got, index=b.index, dtype=object).notna()
-            yield b[kept].astype({c: object for c in ("host", "title", "kind", "text")}).assign(label=[x for x in got if x is not None])[["host", "title", "kind", "text", "label", "h"]]
+            at = [i for i, (x, h) in enumerate(zip(got, b.h)) if x is not None and (x != FINE or (int(h) >> 24) % 65_536 < fine)]
+            yield b.iloc[at].astype({c: object for c in ("host", "title", "kind", "text")}).assign(label=[got[i] for i in at])[["host", "title", "kind", "text", "label", "h"]]
 
-    rate = min(1.0, SIEVE * most / max(1, texts.count()))
     rows = texts.where(F.length("text") < LONGEST).withColumn("h", F.xxhash64("host", "title", "text"))
     rows = rows.where(F.pmod("h", F.lit(1_000_000)) < F.lit(round(rate * 1_000_000)))
     rows = stage(rows.select("host", "title", "kind", "text", "h").mapInPandas(label, "host string, title string, kind string, text string, label int, h bigint"), "labelled")
@@ -223,32 +239,40 @@ def labelled_sample(texts: DataFrame, most: int = SAMPLE) -> pd.DataFrame:
     return got.assign(label=got["label"].replace(HARD, FINE))
 
 
-def training_items(sample: pd.DataFrame) -> tuple[list[list[str]], list[int]]:
-    """Features and classes of the sentences of labelled texts."""
-    items, labels = [], []
+def training_items(sample: pd.DataFrame) -> tuple[list[np.ndarray], list[int], list[float]]:
+    """Slots, classes and weights of the sentences of labelled texts.
+
+    Sentences of one form, surroundings and class are one item, which weighs as the root of their number.
+    """
+    seen: dict[tuple, int] = {}
+
+    def add(sentence: str, named: bool, size: int, count: int, y: int) -> None:
+        k = (form_of(sentence), _shape(named, size, count), y)
+        seen[k] = seen.get(k, 0) + 1
+
     for title, kind, text, label in sample[["title", "kind", "text", "label"]].itertuples(index=False, name=None):
         parts, own = sentences_of(text, kind), title_key(title)
         size = sum(map(len, parts))
         for s in parts:
-            is_title = bool(own) and title_key(s) == own
+            named = is_title(s, own)
             if label == RESIDUE:
                 y = RESIDUE if has_placeholder(s) else FINE
             else:
-                y = FINE if is_title else label
-            items.append(_features(s, is_title, size, len(parts)))
-            labels.append(int(y))
+                y = FINE if named else int(label)
+            add(s, named, size, len(parts), y)
         if label == FINE and parts:
             # a fine text that was cut short, or is short, is fine as well
             h = hash_of(text)
-            body = [x for x in parts if title_key(x) != own] or parts
+            body = [x for x in parts if not is_title(x, own)] or parts
             cut = body[h % len(body)]
             cut = cut[: max(8, h // 7 % (len(cut) + 1))]
             at = h // 11 % len(body)
             for short in ([cut], body[:1], body[:2], [body[0], cut], body[at : at + 3]):
                 n = sum(map(len, short))
-                items += [_features(x, False, n, len(short)) for x in short]
-                labels += [FINE] * len(short)
-    return items, labels
+                for x in short:
+                    add(x, False, n, len(short), FINE)
+    items = [slots_of([*form_features(form), *shape]) for form, shape, _ in seen]
+    return items, [y for _, _, y in seen], [sqrt(n) for n in seen.values()]
 
 
 def _unseen(host: pd.Series) -> np.ndarray:
@@ -264,7 +288,8 @@ def hash_of(text: str | None) -> int:
 
 
 def _fitted(sample: pd.DataFrame) -> ResidueModel:
-    return ResidueModel(fit(*training_items(sample), classes=3))
+    items, labels, times = training_items(sample)
+    return ResidueModel(fit(items, labels, classes=3, times=times))
 
 
 def _sorted_sample(texts: DataFrame, most: int) -> pd.DataFrame:

@@ -1,15 +1,18 @@
 """The same sum recorded in different units -> whole US dollars.
 
-The columns that speak of one bound are tied by an identity: number in the text x its unit =
-number in the award x its unit = stored number x its scale. Units that are named are fixed;
-for the others every combination of the candidates is tried and the one with the least sum of
-log residuals wins. Where several differ in dollars but not in residual, the record is flagged
-and the rule of the data decides (a unit named in the raw record, else dollars).
+The columns that speak of one bound are tied by identities: number in the text x its unit =
+number in the award x its unit = stored number x its scale. Every combination of candidate
+units is tried for every record and the one with the least weighted sum of log residuals is
+taken. A unit that is named is an observation of that number's unit, with the largest weight, so
+the others follow from it; a number without one takes what makes the identities hold, then the
+unit that the raw record names, then dollars. Where combinations differ in dollars but not in
+the residuals of the identities, the record is flagged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,13 +21,31 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from grainmill.functions.money import parse_sum, unit_named
 
-#: Dollars per unit that an unnamed number may be in.
-CANDIDATES = (1.0, 0.01, 1e3, 1e6)
-#: Factors by which a stored bound may be off its dollars.
-STORED = (1.0, 0.01, 100.0, 1e-3, 1e3, 1e-6, 1e6)
+#: Dollars per unit that a number may be in.
+CANDIDATES = (1.0, 0.01, 1e3, 1e6, 1e9)
+#: Factors that turn a stored bound into its dollars: as it is, cents, thousands, millions.
+STORED = (1.0, 0.01, 1e3, 1e6)
 #: Residuals within this of each other count as equal.
 EQUAL = 1e-6
 
+
+class Weights(NamedTuple):
+    """What a log residual of one costs.
+
+    The first three belong to the identities; the others are defaults of the data, which decide
+    among combinations that the identities leave open.
+    """
+
+    named: float = 8.0  # a number against the unit named for it
+    agree: float = 4.0  # text against award
+    stored: float = 0.05  # dollars against the stored number, whose own scale is often wrong
+    shared: float = 2.0  # an unnamed unit against the one that the raw record names
+    dollars: float = 1.0  # a unit named nowhere against dollars
+    scaled: float = 0.005  # a stored number that needs a factor
+
+
+WEIGHTS = Weights()
+
 _SUM = StructType([StructField(c, DoubleType()) for c in ("low", "high", "low_unit", "high_unit")])
 
 
@@ -46,34 +67,39 @@ def _numbers(values: tuple[float, ...]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def _solve(text: Column, text_unit: Column, award: Column, award_unit: Column, stored: Column) -> Column:
-    """The best combination for one bound as struct(cost, usd, stored_scale, ways)."""
-    text_units = F.when(text.isNull(), F.array(F.lit(None).cast("double"))).when(text_unit.isNotNull(), F.array(text_unit)).when(award_unit.isNotNull(), F.array(award_unit)).otherwise(_numbers(CANDIDATES))
-    award_units = F.when(award.isNull(), F.array(F.lit(None).cast("double"))).when(award_unit.isNotNull(), F.array(award_unit)).otherwise(_numbers(CANDIDATES))
-    scales = F.when(stored.isNull() | (stored <= 0), F.array(F.lit(None).cast("double"))).otherwise(_numbers(STORED))
+def _gap(a: Column, b: Column) -> Column:
+    """The log residual of two numbers; nothing where one is missing."""
+    return F.coalesce(F.when((a > 0) & (b > 0), F.abs(F.ln(a / b))), F.lit(0.0))
+
 
-    def gap(a: Column, b: Column) -> Column:
-        return F.coalesce(F.when((a > 0) & (b > 0), F.abs(F.ln(a / b))), F.lit(0.0))
+def _solve(text: Column, text_unit: Column, award: Column, award_unit: Column, stored: Column, w: Weights) -> Column:
+    """All combinations for one bound as array of struct(cost, residual, usd, stored_scale)."""
+    missing = F.array(F.lit(None).cast("double"))
+    units = lambda number, unit: F.when(number.isNull(), missing).otherwise(F.array_union(_numbers(CANDIDATES), F.array(F.coalesce(unit, F.lit(1.0)))))
+    nowhere = text_unit.isNull() & award_unit.isNull()
 
-    def one(t: Column, a: Column) -> Column:
-        usd = F.coalesce(text * t, award * a)
-        fits = F.transform(scales, lambda s: F.struct(gap(usd, stored * s).alias("residual"), F.abs(F.ln(F.coalesce(s, F.lit(1.0)))).alias("far"), s.alias("scale")))
-        best = F.array_min(fits)
-        away = F.coalesce(F.abs(F.ln(t)), F.lit(0.0)) + F.coalesce(F.abs(F.ln(a)), F.lit(0.0))
-        cost = F.round((gap(text * t, award * a) + best["residual"]) / EQUAL) * EQUAL
-        return F.struct(cost.alias("cost"), away.alias("away"), usd.alias("usd"), best["scale"].alias("stored_scale"))
+    def one(x: Column, y: Column) -> Column:
+        usd = F.coalesce(text * x, award * y)
+        # the scale of the stored number that fits best; the stored column is the only one that may be off
+        fits = F.transform(_numbers(STORED), lambda s: F.struct((w.stored * _gap(usd, stored * s) + w.scaled * F.abs(F.ln(s))).alias("cost"), (w.stored * _gap(usd, stored * s)).alias("residual"), s.alias("scale")))
+        fit = F.when(stored > 0, F.array_min(fits))
+        residual = w.named * (_gap(x, text_unit) + _gap(y, award_unit)) + w.agree * _gap(text * x, award * y) + F.coalesce(fit["residual"], F.lit(0.0))
+        shared = F.when(text_unit.isNull(), _gap(x, award_unit)).otherwise(0.0)
+        default = F.when(nowhere, F.coalesce(F.abs(F.ln(x)), F.lit(0.0)) + F.coalesce(F.abs(F.ln(y)), F.lit(0.0))).otherwise(0.0)
+        cost = residual + F.coalesce(fit["cost"] - fit["residual"], F.lit(0.0)) + w.shared * shared + w.dollars * default
+        even = lambda c: F.round(c / EQUAL) * EQUAL
+        return F.struct(even(cost).alias("cost"), even(residual).alias("residual"), usd.alias("usd"), fit["scale"].alias("stored_scale"))
 
-    ways = F.flatten(F.transform(text_units, lambda t: F.transform(award_units, lambda a: one(t, a))))
-    return ways
+    return F.flatten(F.transform(units(text, text_unit), lambda x: F.transform(units(award, award_unit), lambda y: one(x, y))))
 
 
-def unit_solutions(rows: DataFrame, amount: str = "amount", raw: str = "raw_data", low: str = "amount_min", high: str = "amount_max") -> DataFrame:
-    """Add gm_min and gm_max, each struct(usd, stored_scale, residual, unique), and gm_said.
+def unit_solutions(rows: DataFrame, amount: str = "amount", raw: str = "raw_data", low: str = "amount_min", high: str = "amount_max", weights: Weights = WEIGHTS) -> DataFrame:
+    """Add gm_min and gm_max, each struct(usd, stored_scale, residual, unique).
 
     usd is the bound in whole dollars (half up) where the record states it, else null;
-    stored_scale what the stored number must be multiplied by; residual the summed log
-    residual; unique whether no other combination fits as well with other dollars.
-    The text counts before the award; malformed raw data counts as none, and zero or
+    stored_scale what the stored number must be multiplied by; residual the weighted sum of
+    log residuals of the identities; unique whether no combination with other dollars fits
+    them as well. The text counts before the award; malformed raw data counts as none, and zero or
     negative numbers as not stated. All other columns pass through.
     """
     names = ["gm_text", "gm_award", "gm_unit"]
@@ -89,16 +115,16 @@ def unit_solutions(rows: DataFrame, amount: str = "amount", raw: str = "raw_data
         said = positive(f"gm_award.{other}")
         # a text that bounds only one side keeps the award from speaking for the other
         said = F.when(number.isNotNull() | ~has_text, said)
-        ways = _solve(number, F.col(f"gm_text.{side}_unit"), said, F.col("gm_unit"), F.col(stored).cast("double"))
+        ways = _solve(number, F.col(f"gm_text.{side}_unit"), said, F.col("gm_unit"), F.col(stored).cast("double"), weights)
         solved[out] = F.when(number.isNotNull() | said.isNotNull(), ways)
     rows = rows.withColumns(solved)
     picked = {}
     for out in solved:
         best = F.array_min(out)
-        rival = F.exists(out, lambda w: (w["cost"] <= best["cost"] + EQUAL) & (F.abs(w["usd"] - best["usd"]) > 0.5))
+        rival = F.exists(out, lambda w: (w["residual"] <= best["residual"] + EQUAL) & (F.abs(w["usd"] - best["usd"]) > 0.5))
         picked[out] = F.when(
             F.col(out).isNotNull(),
-            F.struct(F.floor(best["usd"] + 0.5).cast("bigint").alias("usd"), best["stored_scale"].alias("stored_scale"), best["cost"].alias("residual"), (~rival).alias("unique")),
+            F.struct(F.floor(best["usd"] + 0.5).cast("bigint").alias("usd"), best["stored_scale"].alias("stored_scale"), best["residual"].alias("residual"), (~rival).alias("unique")),
         )
     return rows.withColumns(picked).drop(*names)
 

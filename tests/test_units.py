@@ -1,7 +1,7 @@
 import pytest
 
 from grainmill.functions.money import parse_sum, unit_named
-from grainmill.operators.units import unit_solutions, wrong_bounds
+from grainmill.operators.units import Weights, unit_solutions, wrong_bounds
 
 
 @pytest.mark.parametrize(
@@ -64,3 +64,36 @@ def test_identity_between_columns(spark):
 def test_long_texts_are_parsed_whole():
     s = parse_sum("Awards of up to $5,000 " + "for growers and their shops " * 100)
     assert (s.low, s.high, s.high_unit) == (None, 5000.0, 1.0)
+
+
+AMOUNTS = "grant_id string, amount string, amount_min long, amount_max long, raw_data string"
+
+
+def test_residuals_pick_the_units(spark):
+    award = lambda n, unit: f'{{"award": {{"floor": {n}, "ceiling": {n}, "unit": {unit}}}}}'
+    rows = spark.createDataFrame(
+        [
+            ("text in thousands", "5", None, None, award(5000, '"USD"')),
+            ("award in cents", "250", None, None, award(25000, "null")),
+            ("shared unit", "40", None, None, award("null", '"thousand USD"')),
+            ("both unnamed", "70", 70000, 70000, award(70000, "null")),
+            ("nothing but dollars", "900", 9, 9, None),
+            ("named wins", "$3 million", 3, 3, award(3, '"USD"')),
+        ],
+        AMOUNTS,
+    )
+    got = {r.grant_id: r.gm_max for r in unit_solutions(rows).collect()}
+    assert {k: v.usd for k, v in got.items()} == {"text in thousands": 5000, "award in cents": 250, "shared unit": 40_000, "both unnamed": 70_000, "nothing but dollars": 900, "named wins": 3_000_000}
+    assert got["text in thousands"].unique and got["award in cents"].unique and not got["shared unit"].unique
+    # without the rule that unnamed numbers are dollars the stored number alone tells the unit
+    free = spark.createDataFrame([("a", "5", 5000, 5000, None), ("b", "5", 5, 5, None), ("c", "5", None, None, None)], AMOUNTS)
+    alone = {r.grant_id: r.gm_min for r in unit_solutions(free, weights=Weights(dollars=0.0)).collect()}
+    assert alone["a"].usd == 5000 and alone["b"].usd == 5 and not any(alone[g].unique for g in "abc")
+
+
+def test_without_residuals_the_stated_units_are_missed(spark):
+    rows = spark.createDataFrame([("a", "$5 thousand", 5, 5, None), ("b", None, 20, 20, '{"award": {"floor": 2000, "ceiling": 2000, "unit": "US cents"}}'), ("c", "$3 million", 3, 3, None)], AMOUNTS)
+    want = {("a", "min"): 5000, ("a", "max"): 5000, ("c", "min"): 3_000_000, ("c", "max"): 3_000_000}
+    assert {(r.grant_id, r.bound): r.usd for r in wrong_bounds(rows).collect()} == want
+    none = {r.grant_id: r.gm_min.usd for r in unit_solutions(rows, weights=Weights(0.0, 0.0, 0.0, 0.0, 0.0, 0.0)).collect()}
+    assert all(none[g] != want[g, "min"] for g in "ac")

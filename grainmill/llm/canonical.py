@@ -2,8 +2,9 @@
 
 Values are reduced to distinct ones and normalised; what then equals a name or an alias is
 settled. For the rest an inverted index of character n-grams gives candidates, scored by
-weighted cosine; a candidate is taken above a threshold and a margin over the next entry,
-if an edit distance confirms it. Everything else is reported as unmatched.
+weighted cosine; a candidate above the threshold, and by a margin over the next entry, is
+taken. Between a lower threshold and that one an edit distance has to confirm it. Everything
+else is reported as unmatched.
 """
 
 from __future__ import annotations
@@ -13,19 +14,21 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from grainmill.operators.skew import join_dictionary
 from grainmill.runtime import broadcast_if_few, stage
 
 #: Id of values that the list does not hold.
 NONE = "NONE"
-#: Least weighted cosine of a candidate, and its least lead over the next entry.
-THRESHOLD, MARGIN = 0.30, 0.02
-#: Candidates per value that the edit distance looks at.
-CANDIDATES = 5
+#: Weighted cosine from which an entry is taken, and its least lead over the next one.
+THRESHOLD, MARGIN = 0.5, 0.05
+#: Weighted cosine from which an entry is taken if an edit distance confirms it; the index finds every pair above it.
+DOUBT = 0.3
+#: Cosine that the lightest grams of a value may add at most; the index is not asked for them.
+LIGHT = 0.1
 #: The code of the state that addresses may end in.
 STATE = "TG"
 
@@ -66,7 +69,10 @@ def normal_form(value: str | None, around: bool = True, short: bool = True) -> s
             continue
         if w in ("&", "+"):
             continue
-        out.append(SHORT.get(w, w) if short else w)
+        out.append(w)
+    # letters alone ("N/A") are no short form of anything
+    if short and any(len(w) > 2 for w in out):
+        out = [SHORT.get(w, w) for w in out]
     if around and out[:2] == ["county", "of"]:
         out = [*out[2:], "county"]
     return " ".join(out)
@@ -109,12 +115,20 @@ def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([edit_distance(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
-def grams(text: Column) -> Column:
-    """The distinct character pairs and triples of a value with marked ends."""
-    marked = F.concat(F.lit("^"), text, F.lit("$"))
-    n = F.length(marked)
-    take = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.substring(marked, i, F.lit(k)))
-    return F.array_distinct(F.concat(take(2), take(3)))
+def grams_of(text: str) -> list[str]:
+    """The distinct character n-grams of a value with marked ends: pairs, pairs with a gap, and triples in any order, which swaps leave alone."""
+    marked, out = f"^{text}$", set()
+    for i in range(len(marked) - 1):
+        out.add(marked[i : i + 2])
+        if i + 2 < len(marked):
+            out.add(f"{marked[i]}_{marked[i + 2]}")
+            out.add("=" + "".join(sorted(marked[i : i + 3])))
+    return sorted(out)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def grams(values: pd.Series) -> pd.Series:
+    return values.map(grams_of)
 
 
 def reference_names(ref: DataFrame, key: str, name: str, aliases: str, field: str) -> DataFrame:
@@ -138,35 +152,49 @@ def match_values(values: DataFrame, names: DataFrame) -> DataFrame:
     part = known.select("field", "norm", F.col("ref_id").alias("by_norm"))
     settled = forms.join(broadcast_if_few(whole), ["field", "plain"], "left").join(broadcast_if_few(part), ["field", "norm"], "left")
     settled = settled.select("field", "entry", "gm_n", "norm", "bare", F.coalesce("by_plain", "by_norm").alias("known_id"))
-    queries = settled.where("known_id is null").select("field", F.explode(F.array_distinct(F.array("norm", "bare"))).alias("norm")).where("length(norm) >= 4").distinct()
-
-    counted = names.select("field", "norm").distinct().withColumn("gm_all", F.count("*").over(Window.partitionBy("field")))
-    index = counted.select("field", "norm", "gm_all", F.explode(grams(F.col("norm"))).alias("gram"))
-    weight = index.groupBy("field", "gram").agg(F.ln((F.max("gm_all") + 1) / (F.count("*") + 0.5)).alias("w"))
-    index = index.join(broadcast_if_few(weight), ["field", "gram"])
-    size = index.groupBy("field", "norm").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    postings = index.join(broadcast_if_few(size), ["field", "norm"]).select("field", "gram", F.col("norm").alias("name"), (F.col("w") / F.col("size")).alias("pw"), "w")
-
-    asked = queries.select("field", "norm", F.explode(grams(F.col("norm"))).alias("gram"))
-    rare = counted.groupBy("field").agg(F.ln((F.max("gm_all") + 1) / 0.5).alias("rare"))
-    asked = asked.join(broadcast_if_few(weight), ["field", "gram"], "left").join(broadcast_if_few(rare), "field")
-    length = asked.groupBy("field", "norm").agg(F.sqrt(F.sum(F.pow(F.coalesce("w", "rare"), F.lit(2)))).alias("asked_size"))
-    hits = asked.where("w is not null").select("field", "norm", "gram").join(broadcast_if_few(postings), ["field", "gram"])
-    scored = hits.groupBy("field", "norm", "name").agg(F.sum(F.col("pw") * F.col("w")).alias("dot"))
-    owner = names.groupBy("field", F.col("norm").alias("name")).agg(F.min_by("ref_id", F.struct("rank", "ref_id")).alias("ref_id"))
-    scored = scored.join(length, ["field", "norm"]).withColumn("score", F.col("dot") / F.col("asked_size")).join(broadcast_if_few(owner), ["field", "name"])
-    # the best name of each entry, then the leading entries of each value
+    queries = settled.where("known_id is null").select("field", F.explode(F.array_distinct(F.array("norm", "bare"))).alias("norm")).where("norm <> ''").distinct()
+
+    named = names.groupBy("field", F.col("norm").alias("name")).agg(F.min_by("ref_id", F.struct("rank", "ref_id")).alias("ref_id"))
+    named = stage(named.withColumn("gram", grams("name")), "list-grams")
+    total = named.groupBy("field").agg(F.count("*").alias("gm_all"))
+    weight = named.select("field", F.explode("gram").alias("gram")).groupBy("field", "gram").agg(F.count("*").alias("df"))
+    weight = weight.join(broadcast_if_few(total), "field").select("field", "gram", F.ln((F.col("gm_all") + 1) / (F.col("df") + 0.5)).alias("w"))
+    weight = broadcast_if_few(stage(weight, "gram-weights"))
+
+    def vectors(rows: DataFrame, *keys: str) -> DataFrame:
+        """One row per value with its grams and weights, lightest first, and its length; grams that no name has weigh as the rarest."""
+        rows = rows.select(*keys, F.explode("gram").alias("gram")).join(weight, ["field", "gram"], "left").join(broadcast_if_few(total), "field")
+        rows = rows.withColumn("w", F.coalesce("w", F.ln((F.col("gm_all") + 1) / 0.5)))
+        rows = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("w", "gram"))).alias("vector"), F.sum(F.col("w") * F.col("w")).alias("square"))
+        return rows
+
+    index = vectors(named, "field", "name", "ref_id").select("field", "name", "ref_id", F.col("vector").alias("name_vector"), F.sqrt("square").alias("name_size"))
+    index = stage(index.withColumn("held", F.map_from_entries(F.transform("name_vector", lambda x: F.struct(x["gram"], x["w"])))), "index")
+    asked = stage(vectors(queries.withColumn("gram", grams("norm")), "field", "norm"), "asked")
+    # by Cauchy and Schwarz the lightest grams add at most LIGHT to a cosine: a pair whose others don't reach DOUBT - LIGHT is out, the rest is counted exactly
+    skip = F.aggregate("vector", F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")), lambda s, x: F.when(s["sum"] + x["w"] * x["w"] < LIGHT * LIGHT * F.col("square"), F.struct((s["sum"] + x["w"] * x["w"]).alias("sum"), (s["n"] + 1).alias("n"))).otherwise(s))["n"]
+    probes = asked.select("field", "norm", F.explode(F.slice("vector", skip + 1, F.size("vector"))).alias("x")).select("field", "norm", "x.gram", "x.w")
+    postings = index.select("field", "name", F.explode("name_vector").alias("x")).select("field", "name", F.col("x.gram").alias("gram"))
+    pairs = probes.join(broadcast_if_few(postings), ["field", "gram"]).groupBy("field", "norm", "name").agg(F.sum(F.col("w") * F.col("w")).alias("partial"))
+    scored = pairs.join(asked, ["field", "norm"]).join(broadcast_if_few(index), ["field", "name"])
+    sizes = F.sqrt("square") * F.col("name_size")
+    scored = scored.where(F.col("partial") >= (DOUBT - LIGHT - 1e-9) * sizes)
+    dot = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.try_element_at("held", x["gram"]), F.lit(0.0)))
+    scored = scored.withColumn("score", dot / sizes)
+    scored = scored.where(F.col("score") >= DOUBT)
+    # the best name of each entry, then the two leading entries of each value
     best = scored.groupBy("field", "norm", "ref_id").agg(F.max("score").alias("score"), F.max_by("name", F.struct("score", "name")).alias("name"))
-    order = Window.partitionBy("field", "norm").orderBy(F.desc("score"), "ref_id")
-    near = best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= CANDIDATES).where(F.col("score") >= THRESHOLD)
-    near = near.withColumn("distance", _distance("norm", "name"))
-    allowed = F.when(F.length("norm") >= 10, 2).otherwise(1)
-    close = near.where(F.col("distance") <= allowed)
-    rank = F.struct("distance", (-F.col("score")).alias("s"), "ref_id")
-    taken = close.groupBy("field", "norm").agg(F.min_by(F.struct("ref_id", "score", "distance"), rank).alias("first"), F.sort_array(F.collect_list(F.struct("distance", (-F.col("score")).alias("s")))).alias("all"))
-    lead = F.when(F.size("all") < 2, F.lit(1.0)).when(F.col("all")[1]["distance"] > F.col("all")[0]["distance"], F.lit(1.0)).otherwise(F.col("all")[1]["s"] - F.col("all")[0]["s"])
-    taken = taken.where(lead >= MARGIN).select("field", "norm", F.col("first.ref_id").alias("near_id"), F.col("first.score").alias("score"))
-    taken = stage(taken, "taken")
+    far = F.lit(99)
+    allowed = F.when(F.length("norm") >= 10, 2).when(F.length("norm") >= 4, 1).otherwise(0)
+    best = best.withColumn("distance", _distance("norm", "name")).withColumn("distance", F.when(F.col("distance") <= allowed, F.col("distance")).otherwise(far))
+    best = best.where((F.col("score") >= THRESHOLD) | (F.col("distance") < far))
+    order = Window.partitionBy("field", "norm").orderBy("distance", F.desc("score"), "ref_id")
+    lead = best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 2)
+    at = lambda place, c: F.max(F.when(F.col("place") == place, F.col(c)))
+    lead = lead.groupBy("field", "norm").agg(at(1, "ref_id").alias("near_id"), at(1, "score").alias("score"), at(1, "distance").alias("d1"), at(2, "score").alias("s2"), at(2, "distance").alias("d2"))
+    # an entry within the edit distance leads one that isn't; else the margin of the cosine counts
+    leads = F.col("s2").isNull() | (F.col("d2") > F.col("d1")) | (F.col("score") - F.col("s2") >= MARGIN)
+    taken = stage(lead.where(leads).select("field", "norm", "near_id", "score"), "taken")
     other = taken.select("field", F.col("norm").alias("bare"), F.col("near_id").alias("bare_id"), F.col("score").alias("bare_score"))
     out = settled.join(taken, ["field", "norm"], "left").join(other, ["field", "bare"], "left")
     score = F.when(F.col("known_id").isNotNull(), F.lit(1.0)).otherwise(F.coalesce("score", "bare_score", F.lit(0.0)))

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -38,14 +39,23 @@ _SEGMENT = re.compile(r"(?<=[.!?])['\"”’)]*\s+|\n+")
 _TAIL = re.compile(r"[.!?;:,…]+['\"”’)]*$")
 _ONE_NAME = re.compile(r"(?<=[\w,] )[A-ZÀ-Þ][\w'’-]+")
 _WORD = re.compile(r"[^\W\d_]+")
+_NINES = str.maketrans("0123456789", "9" * 10)
 
 
 def skeleton(segment: str) -> str:
     """A sentence or line with names as one word, digits as 9, in lower case and without its final sign."""
+    return _short_skeleton(segment) if len(segment) < 400 else _skeleton(segment)
+
+
+def _skeleton(segment: str) -> str:
     s = _TAIL.sub("", segment.strip())
     s = NAMES.sub("Nn", s)
     s = _ONE_NAME.sub("Nn", s)
-    return re.sub(r"\d", "9", " ".join(s.split())).lower()
+    s = " ".join(s.split())
+    return (s.translate(_NINES) if s.isascii() else re.sub(r"\d", "9", s)).lower()
+
+
+_short_skeleton = lru_cache(maxsize=100_000)(_skeleton)
 
 
 def segments(text: str) -> list[tuple[str, bool]]:
@@ -120,28 +130,37 @@ def ending_counts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            inner, last, loose, words = Counter(), Counter(), Counter(), Counter()
+            inner, last, loose, words, final = Counter(), Counter(), Counter(), Counter(), Counter()
             for text in b.text:
-                words.update(_WORD.findall(text)[:-1])
                 got = segments(text)
+                final.update(next((w[-1:] for s, _ in reversed(got) if (w := _WORD.findall(s))), ()))
                 if not got:
                     continue
                 end, _ = got.pop()
+                words[end] += 1
                 if not _ENDED.search(end):
                     loose[end] += 1
                 elif MARK.search(end):
                     loose[MARK.sub("", end)] += 1
                 else:
                     last[end] += 1
-                inner.update(s for s, ends in got if not ends)
-                last.update(s for s, ends in got if ends)
+                for s, ends in got:
+                    (last if ends else inner)[s] += 1
+                    words[s] += 1
             rows: dict[str, list[int]] = {}
-            # skeletons are made once per distinct segment
+            # skeletons are made, and words found, once per distinct segment
             for at, counter in enumerate((inner, last, loose)):
                 for s, n in counter.items():
                     rows.setdefault(skeleton(s), [0, 0, 0])[at] += n
+            uses: dict[str, int] = {}
+            for s, n in words.items():
+                for w in _WORD.findall(s):
+                    uses[w] = uses.get(w, 0) + n
+            for w, n in final.items():
+                uses[w] -= n
+            uses = {w: n for w, n in uses.items() if n}
             yield pd.DataFrame({"is_word": False, "key": list(rows), "whole": [a + z for a, z, _ in rows.values()], "last": [z for _, z, _ in rows.values()], "open": [o for _, _, o in rows.values()]})
-            yield pd.DataFrame({"is_word": True, "key": list(words), "whole": list(words.values()), "last": 0, "open": 0})
+            yield pd.DataFrame({"is_word": True, "key": list(uses), "whole": list(uses.values()), "last": 0, "open": 0})
 
     counted = texts.select("text").distinct().mapInPandas(run, "is_word boolean, key string, whole bigint, last bigint, open bigint")
     counted = stage(counted.groupBy("is_word", "key").agg(F.sum("whole").alias("whole"), F.sum("last").alias("last"), F.sum("open").alias("open")), "ending-counts")

@@ -4,7 +4,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from grainmill.llm.canonical import canonical_entries, edit_distance, normal_form
+from grainmill.llm import canonical
+from grainmill.llm.canonical import canonical_entries, edit_distance, grams_of, normal_form
 from grainmill.llm.survivors import best_records, components, grouped, learned_levels, page_key, rounds_of, says_who, survivors
 from tests.llm.conftest import GRANT
 
@@ -33,6 +34,55 @@ def test_entries_meet_their_names(spark):
     assert canonical_entries(rows.limit(0), {"locations": places, "industries": trades}).count() == 0
 
 
+NAMES = "location_id string, place_name string, aliases array<string>"
+
+
+def matched(spark, names, entries):
+    places = spark.createDataFrame([(f"L{i}", n, None) for i, n in enumerate(names)], NAMES)
+    rows = spark.createDataFrame([("a", entries)], "grant_id string, locations array<string>")
+    got = {r.pos: r.ref_id for r in canonical_entries(rows, {"locations": places}).collect()}
+    return [got.get(i) for i in range(len(entries))]
+
+
+def test_threshold_and_margin_decide(spark, monkeypatch):
+    names = ["Harlan Grove Heights", "Wexcombe Junction", "Pellbury", "Ashgrodale North Fields", "Ashgrodale South Fields"]
+    # more edits than the distance allows: the cosine alone takes it, and leaves the one between two names
+    entries = ["Harlan Grove Hieghst Disrtict", "Zubrov", "Ashgrodale Fields"]
+    assert matched(spark, names, entries) == ["L0", "NONE", "NONE"]
+    monkeypatch.setattr(canonical, "THRESHOLD", 2.0)
+    assert matched(spark, names, entries)[0] == "NONE"
+    monkeypatch.setattr(canonical, "THRESHOLD", 0.5)
+    monkeypatch.setattr(canonical, "MARGIN", 0.0)
+    assert matched(spark, names, entries)[2] != "NONE"
+
+
+def test_short_names_and_many_alike(spark):
+    names = ["Ux", "Ely", "Oak", *[f"Tamsin Ward {a}{b}" for a in "bcdfg" for b in "kmnprst"]]
+    entries = ["ELY", "Elys", "ux", "Tamsin Ward dn", "Tamsin Wrad dn", "N/A", "x" * 50_000]
+    got = matched(spark, names, entries)
+    assert got == ["L1", "NONE", "L0", f"L{names.index('Tamsin Ward dn')}", f"L{names.index('Tamsin Ward dn')}", "NONE", "NONE"]
+
+
+def test_index_finds_every_pair_above_the_threshold(spark):
+    """The scores of the index against those of all pairs, counted plainly."""
+    from collections import Counter
+    from math import log, sqrt
+
+    names = [f"{a} {b}" for a in ("larkes", "kestr", "pell", "ashgro") for b in ("grove", "falls", "county", "heights", "mere")]
+    count = Counter(g for n in names for g in grams_of(n))
+    weigh = lambda g: log((len(names) + 1) / (count.get(g, 0) + 0.5))
+    length = lambda x: sqrt(sum(weigh(g) ** 2 for g in grams_of(x)))
+    cosine = lambda a, b: sum(weigh(g) ** 2 for g in {*grams_of(a)} & {*grams_of(b)}) / length(a) / length(b)
+    values = ["larks grove", "kestr fals", "pel heigths", "ashgor mere", "larkes", "grove falls county", "kestrel heights", "nowhere"]
+    ref = canonical.reference_names(spark.createDataFrame([(f"L{i}", n, None) for i, n in enumerate(names)], NAMES), "location_id", "place_name", "aliases", "locations")
+    got = {r.entry: r for r in canonical.match_values(spark.createDataFrame([("locations", v, 1) for v in values], "field string, entry string, gm_n long"), ref).collect()}
+    for v in values:
+        best = sorted(((cosine(v, n), n) for n in names), reverse=True)
+        if best[0][0] >= canonical.THRESHOLD and best[0][0] - best[1][0] >= canonical.MARGIN and edit_distance(v, best[1][1]) > 1:
+            assert got[v].ref_id == f"L{names.index(best[0][1])}" and abs(got[v].score - best[0][0]) < 1e-9
+    assert got["nowhere"].ref_id == "NONE"
+
+
 def test_page_keys(spark):
     urls = ["https://www.E.org/a/b/?utm_source=x#top", "http://e.org/a/b", "https://e.org/", "https://e.org", "https://e.org/a?id=2&ref=z", None, ""]
     got = [r.k for r in spark.createDataFrame([(u,) for u in urls], "u string").select(page_key(F.col("u")).alias("k")).collect()]

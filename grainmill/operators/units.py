@@ -14,10 +14,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from grainmill.functions.money import parse_sum, unit_named
 
@@ -63,34 +64,62 @@ def dollars_per_unit(names: pd.Series) -> pd.Series:
     return names.map(unit_named).astype("float64")
 
 
-def _numbers(values: tuple[float, ...]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+_SOLUTION = StructType([StructField("usd", LongType()), StructField("stored_scale", DoubleType()), StructField("residual", DoubleType()), StructField("unique", BooleanType())])
 
 
-def _gap(a: Column, b: Column) -> Column:
-    """The log residual of two numbers; nothing where one is missing."""
-    return F.coalesce(F.when((a > 0) & (b > 0), F.abs(F.ln(a / b))), F.lit(0.0))
+def _log(x: np.ndarray) -> np.ndarray:
+    """Logarithms; nan for what is missing, zero or negative."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(x > 0, np.log(x), np.nan)
 
 
-def _solve(text: Column, text_unit: Column, award: Column, award_unit: Column, stored: Column, w: Weights) -> Column:
-    """All combinations for one bound as array of struct(cost, residual, usd, stored_scale)."""
-    missing = F.array(F.lit(None).cast("double"))
-    units = lambda number, unit: F.when(number.isNull(), missing).otherwise(F.array_union(_numbers(CANDIDATES), F.array(F.coalesce(unit, F.lit(1.0)))))
-    nowhere = text_unit.isNull() & award_unit.isNull()
+def solve(text: np.ndarray, text_unit: np.ndarray, award: np.ndarray, award_unit: np.ndarray, stored: np.ndarray, w: Weights = WEIGHTS) -> pd.DataFrame:
+    """(usd, stored_scale, residual, unique) of each record for one bound; nan where nothing is known.
 
-    def one(x: Column, y: Column) -> Column:
-        usd = F.coalesce(text * x, award * y)
-        # the scale of the stored number that fits best; the stored column is the only one that may be off
-        fits = F.transform(_numbers(STORED), lambda s: F.struct((w.stored * _gap(usd, stored * s) + w.scaled * F.abs(F.ln(s))).alias("cost"), (w.stored * _gap(usd, stored * s)).alias("residual"), s.alias("scale")))
-        fit = F.when(stored > 0, F.array_min(fits))
-        residual = w.named * (_gap(x, text_unit) + _gap(y, award_unit)) + w.agree * _gap(text * x, award * y) + F.coalesce(fit["residual"], F.lit(0.0))
-        shared = F.when(text_unit.isNull(), _gap(x, award_unit)).otherwise(0.0)
-        default = F.when(nowhere, F.coalesce(F.abs(F.ln(x)), F.lit(0.0)) + F.coalesce(F.abs(F.ln(y)), F.lit(0.0))).otherwise(0.0)
-        cost = residual + F.coalesce(fit["cost"] - fit["residual"], F.lit(0.0)) + w.shared * shared + w.dollars * default
-        even = lambda c: F.round(c / EQUAL) * EQUAL
-        return F.struct(even(cost).alias("cost"), even(residual).alias("residual"), usd.alias("usd"), fit["scale"].alias("stored_scale"))
-
-    return F.flatten(F.transform(units(text, text_unit), lambda x: F.transform(units(award, award_unit), lambda y: one(x, y))))
+    All combinations of the candidates for the text's unit, the award's unit and the scale of
+    the stored number are laid out as axes 1, 2 and 3, and the least cost is taken; of equal
+    costs the smaller sum of dollars.
+    """
+    n, has_text, has_award = len(text), text > 0, award > 0
+
+    def units(named: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.tile(CANDIDATES, (n, 1)), np.where(named > 0, named, 1.0)[:, None]], axis=1)
+
+    axis = lambda v, *at: v.reshape([n, *[v.shape[1] if a else 1 for a in at]])
+    gap = lambda d: np.nan_to_num(np.abs(d))
+    x, y = axis(units(text_unit), 1, 0), axis(units(award_unit), 0, 1)
+    lx, ly, one = np.log(x), np.log(y), lambda v: v[:, None, None]
+    # an absent number has no unit to choose: only its first candidate counts
+    barred = (~one(has_text) & (np.arange(x.shape[1]) > 0)[None, :, None]) | (~one(has_award) & (np.arange(y.shape[2]) > 0)[None, None, :])
+    lt, la, nt, na = (one(_log(v)) for v in (text, award, text_unit, award_unit))
+    usd = np.where(one(has_text), one(text) * x, one(award) * y)
+    off = gap(_log(usd)[..., None] - _log(stored)[:, None, None, None] - np.log(STORED))
+    pay = w.stored * off + w.scaled * np.abs(np.log(STORED)) * (stored > 0)[:, None, None, None]
+    fit = pay.argmin(axis=3)
+    at_fit = lambda v: np.take_along_axis(v, fit[..., None], axis=3)[..., 0]
+    residual = w.named * (gap(lx - nt) * one(has_text) + gap(ly - na) * one(has_award)) + w.agree * gap(lt + lx - la - ly) + w.stored * at_fit(off)
+    nowhere = np.isnan(nt) & np.isnan(na)
+    shared = gap(lx - na) * (one(has_text) & np.isnan(nt))
+    default = nowhere * (np.abs(lx) * one(has_text) + np.abs(ly) * one(has_award))
+    cost = residual + at_fit(pay) - w.stored * at_fit(off) + w.shared * shared + w.dollars * default
+    cost, residual = np.where(barred, np.inf, cost).reshape(n, -1), np.where(barred, np.inf, residual).reshape(n, -1)
+    usd, fit = usd.reshape(n, -1), fit.reshape(n, -1)
+    low = cost.min(axis=1, keepdims=True)
+    best = np.where(cost <= low + EQUAL, usd, np.inf).argmin(axis=1)[:, None]
+    pick = lambda v: np.take_along_axis(v, best, axis=1)
+    rival = ((residual <= pick(residual) + EQUAL) & (np.abs(usd - pick(usd)) > 0.5)).any(axis=1)
+    known = has_text | has_award
+    scale = np.where(known & (stored > 0), np.array(STORED)[pick(fit)[:, 0]], np.nan)
+    said = np.where(known, np.floor(pick(usd)[:, 0] + 0.5), np.nan)
+    return pd.DataFrame({"usd": pd.array(pd.Series(said), dtype="Int64"), "stored_scale": scale, "residual": np.where(known, pick(residual)[:, 0], np.nan), "unique": pd.array(np.where(known, ~rival, None), dtype="boolean")})
+
+
+def _solver(w: Weights):
+    @F.pandas_udf(_SOLUTION)
+    def run(text: pd.Series, text_unit: pd.Series, award: pd.Series, award_unit: pd.Series, stored: pd.Series) -> pd.DataFrame:
+        return solve(*[s.to_numpy(dtype="float64", na_value=np.nan) for s in (text, text_unit, award, award_unit, stored)], w)
+
+    return run
 
 
 def unit_solutions(rows: DataFrame, amount: str = "amount", raw: str = "raw_data", low: str = "amount_min", high: str = "amount_max", weights: Weights = WEIGHTS) -> DataFrame:
@@ -109,24 +138,14 @@ def unit_solutions(rows: DataFrame, amount: str = "amount", raw: str = "raw_data
     rows = rows.withColumn("gm_unit", dollars_per_unit(F.col("gm_award.unit")))
     positive = lambda c: F.when(F.col(c) > 0, F.col(c))
     has_text = F.coalesce(positive("gm_text.low"), positive("gm_text.high")).isNotNull()
-    solved = {}
+    run, solved = _solver(weights), {}
     for out, side, other, stored in (("gm_min", "low", "floor", low), ("gm_max", "high", "ceiling", high)):
         number = positive(f"gm_text.{side}")
-        said = positive(f"gm_award.{other}")
         # a text that bounds only one side keeps the award from speaking for the other
-        said = F.when(number.isNotNull() | ~has_text, said)
-        ways = _solve(number, F.col(f"gm_text.{side}_unit"), said, F.col("gm_unit"), F.col(stored).cast("double"), weights)
-        solved[out] = F.when(number.isNotNull() | said.isNotNull(), ways)
-    rows = rows.withColumns(solved)
-    picked = {}
-    for out in solved:
-        best = F.array_min(out)
-        rival = F.exists(out, lambda w: (w["residual"] <= best["residual"] + EQUAL) & (F.abs(w["usd"] - best["usd"]) > 0.5))
-        picked[out] = F.when(
-            F.col(out).isNotNull(),
-            F.struct(F.floor(best["usd"] + 0.5).cast("bigint").alias("usd"), best["stored_scale"].alias("stored_scale"), best["residual"].alias("residual"), (~rival).alias("unique")),
-        )
-    return rows.withColumns(picked).drop(*names)
+        said = F.when(number.isNotNull() | ~has_text, positive(f"gm_award.{other}"))
+        got = run(number, F.col(f"gm_text.{side}_unit"), said, F.col("gm_unit"), F.col(stored).cast("double"))
+        solved[out] = F.when(number.isNotNull() | said.isNotNull(), got)
+    return rows.withColumns(solved).drop(*names)
 
 
 def wrong_bounds(rows: DataFrame, key: str = "grant_id", low: str = "amount_min", high: str = "amount_max") -> DataFrame:

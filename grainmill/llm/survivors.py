@@ -4,15 +4,14 @@ Rows are linked by equal titles or equal pages; the groups are the connected com
 field the row of the most trusted source survives, and within a source the most current one.
 Currency comes from time stamps; where a row has none, it is reasoned: from the groups with
 stamps the engine learns which value of a carrier column gives way to which (OPEN before
-CLOSED), orders the values topologically, and takes an unstamped row as the latest only if
-its value comes after that of the latest stamped row.
+CLOSED), as a partial order. In each group the rows without a stamp are placed by it: one is
+taken as the latest only if its value comes after that of the latest stamped row; values that
+the order doesn't compare are left alone.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.operators.instants import located, normalise_instants
@@ -25,8 +24,10 @@ TRACKING = "utm_[a-z]+|fbclid|gclid|ref|mc_cid|mc_eid"
 ROUND = r"(?i)\b(fy ?\d{2,4}|(?:19|20)\d{2}(?:[-/]\d{2,4})?|(?:round|cycle|phase|edition) ?(?:\d+|[ivx]+)|[ivx]{2,4})\b"
 #: Texts that say nothing about who may apply (fixed values; compared without case and punctuation).
 SAYS_NOTHING = ("", "na", "n a", "none", "none listed", "none stated", "none given", "not specified", "not stated", "not listed", "not available", "not applicable", "unspecified", "unknown", "tbd", "tba", "to be determined", "see website", "see web site", "see notice", "see details", "see link", "varies", "various", "null", "pending", "contact us", "no information")
-#: Most distinct values of a carrier column that currency is learned from.
-CARRIER_VALUES = 64
+#: Times that a value must be followed by another, and the share of the times that the two follow each other at all.
+VOTES, MAJORITY = 3, 0.8
+#: Steps of doubling after which the order of values must be closed: enough for chains of 2 ** 20 values.
+DOUBLINGS = 20
 
 
 def title_key(title: Column) -> Column:
@@ -56,6 +57,7 @@ def components(links: DataFrame, key: str, left: str, right: str, most_rounds: i
     Null values link nothing. Labels fall to the least of both sides and are then followed to
     their own labels, so the rounds grow as the logarithm of the longest chain. Every round is
     written to the shared folder; no side is gathered, and hot values are looked up by broadcast.
+    Components that `most_rounds` don't finish are an error.
     """
     own = lambda c: F.coalesce(F.col(c), F.concat(F.lit("\u0000"), F.col(key)))
     rows = stage(links.select(F.col(key).alias("k"), own(left).alias("a"), own(right).alias("b"), F.col(key).alias("label")), "links")
@@ -66,11 +68,11 @@ def components(links: DataFrame, key: str, left: str, right: str, most_rounds: i
             now = join_dictionary(now, least, [side], "n")
         rows = stage(now.select("k", "a", "b", F.col("label").alias("was"), F.least("label", "low_a", "low_b").alias("label")), "labels")
         if rows.where("label <> was").limit(1).count() == 0:
-            break
+            return rows.select(F.col("k").alias(key), "label")
         wanted = rows.groupBy("label").agg(F.count("*").alias("n"))
         follow = stage(wanted.join(rows.select(F.col("k").alias("label"), F.col("label").alias("next")), "label"), "follow")
         rows = stage(join_dictionary(rows.drop("was"), follow, ["label"], "n").select("k", "a", "b", F.least("label", "next").alias("label")), "followed")
-    return rows.select(F.col("k").alias(key), "label")
+    raise RuntimeError(f"components are unfinished after {most_rounds} rounds")
 
 
 def grouped(rows: DataFrame, key: str = "grant_id", title: str = "title", url: str = "source_url") -> DataFrame:
@@ -90,44 +92,62 @@ def grouped(rows: DataFrame, key: str = "grant_id", title: str = "title", url: s
     linked = by_t.unionByName(by_p).distinct().withColumn("gm_p", F.when(F.col("gm_p") != "\u0000", F.col("gm_p")))
     labels = components(linked, "node", "gm_t", "gm_p")
     nodes = nodes.join(labels, "node", "left").withColumn("group_id", F.coalesce("label", "node")).drop("label")
-    sizes = nodes.groupBy("group_id").agg(F.sum("gm_n").alias("gm_size")).where("gm_size > 1")
-    members = stage(nodes.join(sizes, "group_id", "left_semi").select("gm_t", "gm_p", "gm_n", "group_id"), "members")
+    nodes = stage(nodes, "labelled-nodes")
+    sizes = nodes.groupBy("group_id").agg(F.sum("gm_n").alias("gm_size"), F.count("*").alias("gm_nodes")).where("gm_size > 1").drop("gm_size")
+    members = stage(join_dictionary(nodes, stage(sizes, "groups"), ["group_id"], "gm_nodes").select("gm_t", "gm_p", "gm_n", "group_id"), "members")
     return join_dictionary(rows, members, ["gm_t", "gm_p"], "gm_n").drop("gm_t", "gm_p")
 
 
-def learned_levels(rows: DataFrame, carrier: str, stamp: str) -> dict[str, int]:
-    """Topological level of each carrier value: a value that gives way to another has the lower one.
+def precedence(rows: DataFrame, carrier: str, stamp: str) -> DataFrame:
+    """(v, w): value v of the carrier gives way to w; a partial order, closed under its steps.
+
+    In each group the spans of the values, from first to last stamp, are put in order; a value
+    that ends before the next one begins votes for that step. A step holds if it got VOTES, and
+    MAJORITY of the votes of its two values in either order. Steps are closed by doubling, and
+    pairs that come out in both directions are dropped. Votes stay in a table, so the number of
+    values doesn't matter.
+    """
+    spans = rows.where(F.col(stamp).isNotNull() & F.col(carrier).isNotNull()).groupBy("group_id", F.col(carrier).alias("w")).agg(F.min(stamp).alias("first"), F.max(stamp).alias("last"))
+    order = Window.partitionBy("group_id").orderBy("first", "last", "w")
+    steps = spans.withColumns({"v": F.lag("w").over(order), "ended": F.lag("last").over(order)}).where("ended < first")
+    votes = stage(steps.groupBy("v", "w").agg(F.count("*").alias("n")), "votes")
+    back = votes.select(F.col("v").alias("w"), F.col("w").alias("v"), F.col("n").alias("back"))
+    held = votes.join(back, ["v", "w"], "left").where((F.col("n") >= VOTES) & (F.col("n") >= MAJORITY * (F.col("n") + F.coalesce("back", F.lit(0)))))
+    closed = stage(held.select("v", "w"), "steps")
+    size = closed.count()
+    for _ in range(DOUBLINGS):
+        further = closed.select("v", F.col("w").alias("x")).join(closed.select(F.col("v").alias("x"), "w"), "x").select("v", "w")
+        closed = stage(closed.unionByName(further).distinct(), "steps")
+        before, size = size, closed.count()
+        if size == before:
+            break
+    both = closed.select(F.col("v").alias("w"), F.col("w").alias("v"))
+    return closed.where("v <> w").join(both, ["v", "w"], "left_anti")
+
+
+def _currency(rows: DataFrame, by: list[str], fields: dict[str, Column], order: DataFrame | None, key: str, carrier: str) -> DataFrame:
+    """(*by, <field>...): the key of the most current row of each group for each field.
 
-    For every pair of values the groups vote in which one was last seen before the other was
-    first seen; the majority gives the edge, cycles share a level. Only bounds per group and
-    value are aggregated, and at most CARRIER_VALUES values are considered (none if there are more).
+    The latest stamped row counts, unless rows without a stamp have values that come after
+    its value; of several such the one with most values before it, which none of the others
+    follows, then the smallest key. Without a stamped row the same holds for all of them.
     """
-    spans = rows.where(F.col(stamp).isNotNull() & F.col(carrier).isNotNull()).groupBy("group_id", F.col(carrier).alias("v")).agg(F.min(stamp).alias("first"), F.max(stamp).alias("last"))
-    values = [r.v for r in spans.select("v").distinct().limit(CARRIER_VALUES + 1).collect()]
-    if not values or len(values) > CARRIER_VALUES:
-        return {}
-    # one struct per value and group: as many as there are values, not rows
-    sets = spans.groupBy("group_id").agg(F.collect_list(F.struct("v", "first", "last")).alias("s")).where(F.size("s") > 1)
-    pairs = sets.select(F.explode("s").alias("x"), "s").select("x", F.explode("s").alias("y")).where("x.v <> y.v and x.last < y.first")
-    votes = {(r.v, r.w): r.n for r in pairs.groupBy(F.col("x.v").alias("v"), F.col("y.v").alias("w")).agg(F.count("*").alias("n")).collect()}
-    after = defaultdict(set)
-    for (v, w), n in votes.items():
-        if n > votes.get((w, v), 0):
-            after[v].add(w)
-    level = {v: 0 for v in values}
-    for _ in values:  # longest paths; a cycle stops growing after as many rounds as values
-        for v in sorted(after):
-            for w in after[v]:
-                level[w] = min(max(level[w], level[v] + 1), len(values))
-    return level
-
-
-def _latest(condition: Column, key: str) -> Column:
-    """The most current row among those of a condition: the last stamped one, unless an unstamped one has a later value."""
-    row = F.struct(F.col(key), F.col("gm_level").alias("level"))
-    stamped = F.min_by(row, F.when(condition & F.col("gm_when").isNotNull(), F.struct(-F.col("gm_when"), F.col(key))))
-    loose = F.min_by(row, F.when(condition & F.col("gm_when").isNull(), F.struct(-F.col("gm_level"), F.col(key))))
-    return F.struct(stamped.alias("stamped"), loose.alias("loose"))
+    value = F.struct(F.col(key), F.col(carrier).alias("value"))
+    stamped = lambda c: F.min_by(value, F.when(c & F.col("gm_when").isNotNull(), F.struct(-F.col("gm_when"), F.col(key))))
+    latest = rows.groupBy(*by).agg(*[stamped(c).alias(f) for f, c in fields.items()])
+    if order is None:
+        return latest.select(*by, *[F.col(f)[key].alias(f) for f in fields])
+    place = order.groupBy(F.col("w").alias("value")).agg(F.count("*").alias("place"))
+    loose = rows.where("gm_when is null").groupBy(*by, F.col(carrier).alias("value")).agg(*[F.min(F.when(c, F.col(key))).alias(f) for f, c in fields.items()])
+    loose = loose.join(broadcast_if_few(place), "value", "left").withColumn("place", F.coalesce("place", F.lit(0)))
+    out = latest
+    for f in fields:
+        own = loose.where(F.col(f).isNotNull()).select(*by, "value", "place", F.col(f).alias("loose"))
+        own = own.join(latest.select(*by, F.col(f)["value"].alias("v"), F.col(f).isNull().alias("alone")), by)
+        own = own.join(broadcast_if_few(order.select("v", F.col("w").alias("value"), F.lit(True).alias("after"))), ["v", "value"], "left").where("alone or after")
+        best = own.groupBy(*by).agg(F.min_by("loose", F.struct((-F.col("place")).alias("p"), "loose")).alias(f"{f}_loose"))
+        out = out.join(best, by, "left")
+    return out.select(*by, *[F.coalesce(F.col(f"{f}_loose"), F.col(f)[key]).alias(f) for f in fields])
 
 
 def survivors(rows: DataFrame, usable: dict[str, DataFrame | Column], registry: DataFrame, key: str = "grant_id", source: str = "source_name", stamp: str = "last_verified", carrier: str = "status", latest_field: str = "last_verified") -> DataFrame:
@@ -136,19 +156,16 @@ def survivors(rows: DataFrame, usable: dict[str, DataFrame | Column], registry:
     `rows` come from grouped; `usable` gives for each field the condition under which a row's
     value counts. Of equally trusted and equally current rows the one with the smallest key
     survives; a source that the registry lacks is trusted least. A field without a usable value
-    has no row. Groups are only aggregated, never gathered.
+    has no row. Groups are only aggregated, never gathered. The order of values is learned
+    where a row lacks its stamp; else no row needs it.
     """
-    level = learned_levels(rows, carrier, stamp)
     trust = registry.groupBy(F.col("source_name").alias(source)).agg(F.min("trust_rank").alias("gm_trust"))
-    known = F.create_map(*[F.lit(x) for kv in level.items() for x in kv]) if level else None
     rows = rows.join(broadcast_if_few(trust), source, "left")
-    rows = rows.withColumns({"gm_trust": F.coalesce("gm_trust", F.lit(2**31 - 1)), "gm_level": F.coalesce(known[F.col(carrier)], F.lit(-1)) if level else F.lit(-1), "gm_when": F.unix_micros(F.col(stamp).cast("timestamp"))})
-    fields = {latest_field: F.lit(True)} | usable
-    per_source = rows.groupBy("group_id", "gm_trust").agg(*[_latest(c, key).alias(f) for f, c in fields.items()])
-    chosen = lambda f: F.when(F.col(f"{f}.stamped").isNull() | (F.col(f"{f}.loose.level") > F.col(f"{f}.stamped.level")), F.coalesce(f"{f}.loose", f"{f}.stamped")).otherwise(F.col(f"{f}.stamped"))
-    best = per_source.select("group_id", "gm_trust", *[chosen(f)[key].alias(f) for f in usable])
+    rows = rows.withColumns({"gm_trust": F.coalesce("gm_trust", F.lit(2**31 - 1)), "gm_when": F.unix_micros(F.col(stamp).cast("timestamp"))})
+    order = stage(precedence(rows, carrier, stamp), "precedence") if rows.where("gm_when is null").limit(1).count() else None
+    best = _currency(rows, ["group_id", "gm_trust"], usable, order, key, carrier)
     trusted = best.groupBy("group_id").agg(*[F.min_by(f, F.when(F.col(f).isNotNull(), F.col("gm_trust"))).alias(f) for f in usable])
-    overall = rows.groupBy("group_id").agg(_latest(F.lit(True), key).alias(latest_field)).select("group_id", chosen(latest_field)[key].alias(latest_field))
+    overall = _currency(rows, ["group_id"], {latest_field: F.lit(True)}, order, key, carrier)
     wide = trusted.join(overall, "group_id")
     names = [*usable, latest_field]
     long = wide.select("group_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias(key)) for f in names])).alias("x"))
@@ -171,7 +188,7 @@ def best_records(grants: DataFrame, registry: DataFrame) -> DataFrame:
     columns = ["grant_id", "title", "source_url", "source_name", "deadline", "eligibility", "last_verified", "status"]
     rows = stage(grouped(grants.select(*columns)), "grouped")
     dated = normalise_instants(located(rows.select("grant_id", "deadline", "source_name"), "deadline", "source_name", registry)).select("grant_id").distinct()
-    rows = rows.join(dated.withColumn("gm_dated", F.lit(True)), "grant_id", "left")
+    rows = stage(rows.join(dated.withColumn("gm_dated", F.lit(True)), "grant_id", "left"), "dated")
     usable = {"deadline": F.coalesce("gm_dated", F.lit(False)), "eligibility": says_who(F.col("eligibility")), "source_name": F.col("source_name").isNotNull()}
     return survivors(rows, usable, registry)
 

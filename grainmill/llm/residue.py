@@ -13,7 +13,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from math import sqrt
 
 import ahocorasick
 import numpy as np
@@ -106,9 +105,12 @@ SCRIPTS = (
 _VOID_WORDS = re.compile(f"(?i:{STATUS}|{STUBS}|{ERRORS}|{SCRIPTS})", re.M)
 #: One of these stands in every void phrase; a cheap test before the patterns.
 HINTS = (
-    "here|soon|follow|to be |replace|draft|max |needed|todo|tbd|placeholder|your content|text block|lorem|ipsum|dummy|do not remove|pending|error|forbidden|found|gone|gateway|unavailable|unauthorized|requests|denied|timeout|"
-    "<h1>|not |exist|cannot|moved|deleted|removed|taken down|expired|reach|load|wrong|fatal|uncaught|timed|time out|disconnect|traceback|exception|sql|stack trace|rate limit|blocked|maintenance|being built|temporarily|encontrada|servidor|denegado|intente|script|js|active content|browser|please wait|prove that"
+    "goes here|coming soon|will follow|to be added|to be supplied|to be written|to be completed|replace before|do not publish|sentences|program staff|todo|tbd|placeholder|your content|text block|lorem|ipsum|dummy|do not remove| pending|"
+    "unknown error|server error|forbidden|not found|be found|gone|bad gateway|service unavailable|unauthorized|too many requests|access denied|denegado|timeout|time out|timed out|timedout|<h1>|displayed|not available|not be available|not exist|n't exist|longer exist|cannot be|was moved|was removed|was deleted|was taken down|"
+    "been moved|been removed|been deleted|been taken down|has expired|out of reach|did not load|could not be|wrong|fatal|uncaught|disconnect|traceback|exception|sql|stack trace|rate limit|been blocked|not here|not allowed to|maintenance|being built|temporarily|encontrada|error del|intente|"
+    "script|js|active content|browser|loading|please wait|prove that"
 )
+_CODE, _STATUS = re.compile(r"\b[45]\d\d\b"), re.compile(STATUS)
 
 
 @lru_cache(maxsize=1)
@@ -120,9 +122,14 @@ def _hints() -> ahocorasick.Automaton:
     return got
 
 
+def _hinted(low: str) -> bool:
+    """Whether a void phrase can stand in a text in lower case."""
+    return next(_hints().iter(low), None) is not None or (_CODE.search(low) is not None and _STATUS.search(low) is not None)
+
+
 def is_void_phrase(text: str) -> bool:
     """Whether a response status or a phrase stands in a text that takes the place of content (a weak label)."""
-    return next(_hints().iter(text.lower()), None) is not None and _VOID_WORDS.search(text) is not None
+    return _hinted(text.lower()) and _VOID_WORDS.search(text) is not None
 
 
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
@@ -146,6 +153,10 @@ def _is_void(sentence: str) -> bool:
     return is_void_phrase(sentence) or repeated_words(sentence) or sentence.lower().count("ipsum") > 1
 
 
+#: Length beyond the title from which a text without any phrase is fine without a closer look.
+ROOMY = 150
+
+
 #: Label of a fine text in which a phrase stands all the same.
 HARD = 3
 
@@ -154,6 +165,8 @@ def weak_label(text: str, title: str, kind: str) -> int | None:
     """The class that phrases and status lines suggest for a text (HARD: fine in spite of one); None if nothing does."""
     if has_placeholder(text):
         return RESIDUE
+    if kind == "text" and len(text) - len(title) > ROOMY and not repeated_words(text[:ROOMY]) and not _hinted(text.lower()):
+        return FINE  # no sentence can be void, and there is more than the title
     own = title_key(title)
     parts = [x for x in sentences_of(text, kind) if not is_title(x, own)]
     if not parts:
@@ -242,7 +255,7 @@ def labelled_sample(texts: DataFrame, most: int = SAMPLE) -> pd.DataFrame:
 def training_items(sample: pd.DataFrame) -> tuple[list[np.ndarray], list[int], list[float]]:
     """Slots, classes and weights of the sentences of labelled texts.
 
-    Sentences of one form, surroundings and class are one item, which weighs as the root of their number.
+    Sentences of one form, surroundings and class are one item, which weighs as their number.
     """
     seen: dict[tuple, int] = {}
 
@@ -272,7 +285,7 @@ def training_items(sample: pd.DataFrame) -> tuple[list[np.ndarray], list[int], l
                 for x in short:
                     add(x, False, n, len(short), FINE)
     items = [slots_of([*form_features(form), *shape]) for form, shape, _ in seen]
-    return items, [y for _, _, y in seen], [sqrt(n) for n in seen.values()]
+    return items, [y for _, _, y in seen], [float(n) for n in seen.values()]
 
 
 def _unseen(host: pd.Series) -> np.ndarray:
@@ -289,7 +302,7 @@ def hash_of(text: str | None) -> int:
 
 def _fitted(sample: pd.DataFrame) -> ResidueModel:
     items, labels, times = training_items(sample)
-    return ResidueModel(fit(items, labels, classes=3, times=times))
+    return ResidueModel(fit(items, labels, classes=3, times=times, batch=128, rate=1.0))
 
 
 def _sorted_sample(texts: DataFrame, most: int) -> pd.DataFrame:

@@ -130,32 +130,31 @@ def ending_counts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            inner, last, loose, words, final = Counter(), Counter(), Counter(), Counter(), Counter()
+            seen, closing, final = Counter(), Counter(), Counter()
             for text in b.text:
                 got = segments(text)
-                final.update(next((w[-1:] for s, _ in reversed(got) if (w := _WORD.findall(s))), ()))
-                if not got:
-                    continue
-                end, _ = got.pop()
-                words[end] += 1
-                if not _ENDED.search(end):
-                    loose[end] += 1
-                elif MARK.search(end):
-                    loose[MARK.sub("", end)] += 1
-                else:
-                    last[end] += 1
-                for s, ends in got:
-                    (last if ends else inner)[s] += 1
-                    words[s] += 1
-            rows: dict[str, list[int]] = {}
+                if got:
+                    end, _ = got.pop()
+                    closing[end] += 1
+                    if not _WORD.search(end):  # the last word stands further up
+                        final.update(next((w[-1:] for s, _ in reversed(got) if (w := _WORD.findall(s))), ()))
+                    seen.update(got)
             # skeletons are made, and words found, once per distinct segment
-            for at, counter in enumerate((inner, last, loose)):
-                for s, n in counter.items():
-                    rows.setdefault(skeleton(s), [0, 0, 0])[at] += n
+            rows: dict[str, list[int]] = {}
             uses: dict[str, int] = {}
-            for s, n in words.items():
+            for (s, ends), n in seen.items():
+                rows.setdefault(skeleton(s), [0, 0, 0])[1 if ends else 0] += n
                 for w in _WORD.findall(s):
                     uses[w] = uses.get(w, 0) + n
+            for s, n in closing.items():
+                if not _ENDED.search(s):
+                    rows.setdefault(skeleton(s), [0, 0, 0])[2] += n
+                elif MARK.search(s):
+                    rows.setdefault(skeleton(MARK.sub("", s)), [0, 0, 0])[2] += n
+                else:
+                    rows.setdefault(skeleton(s), [0, 0, 0])[1] += n
+                for w in _WORD.findall(s)[:-1]:
+                    uses[w] = uses.get(w, 0) + n
             for w, n in final.items():
                 uses[w] -= n
             uses = {w: n for w, n in uses.items() if n}

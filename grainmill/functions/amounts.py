@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: A dollar sum with an optional scale that no letter follows.
-SUM = r"\$\s*(\d[\d,]*(?:\.\d+)?)\s*((?:[KMBkmb]|thousand|million|billion)(?![A-Za-z]))?"
-RANGE = r"\$[\d,.]+\s*(?:[KMBkmb]|thousand|million|billion)?\s*(?:-|–|—|to|and)\s*\$[\d,.]+"
+SUM = r"\$\s*(\d[\d,]*(?:\.\d+)?)\s*((?:[KMBkmb]|thousand|million|billion)\b)?"
+RANGE = r"\$[\d,.]+\s*(?:[KMBkmb]|thousand|million|billion)?\s*(?:-|–|—|to)\s*\$[\d,.]+"
 #: Sums without a scale below this are not awards.
 LEAST = 100
 
@@ -48,3 +48,32 @@ def award_text(floor: Column, ceiling: Column, total: Column) -> Column:
         .when(has(ceiling), F.concat(F.lit("Up to "), dollars(ceiling)))
         .when(has(total), F.concat(dollars(total), F.lit(" (estimated total)")))
     )
+
+
+def _number(text: Column) -> Column:
+    """The number that a run of digits and points begins with."""
+    return F.regexp_extract(text, r"^(\d*\.?\d*)", 1).try_cast("double")
+
+
+def _stated(text: Column, ranged: str, upper: str, single: str) -> tuple[Column, Column]:
+    """Low and high of a range, an upper limit or a single number, in this order of precedence."""
+    bare = F.regexp_replace(text, ",", "")
+    took = lambda p, g=1: F.nullif(F.regexp_extract(bare, p, g), F.lit(""))
+    is_range, is_upper = took(ranged).isNotNull(), took(upper).isNotNull()
+    one = _number(took(single))
+    low = F.when(is_range, _number(took(ranged))).when(is_upper, F.lit(None).cast("double")).otherwise(one)
+    high = F.when(is_range, _number(took(ranged, 2))).when(is_upper, _number(took(upper))).otherwise(one)
+    return low, high
+
+
+def article_bounds(text: Column) -> Column:
+    """struct(low, high) of sums in articles: every number needs its dollar sign; scales are not read."""
+    low, high = _stated(text, r"(?i)\$\s*([\d.]+)\s*(?:to|-|–|—)\s*\$\s*([\d.]+)", r"(?i)up\s+to\s+\$\s*([\d.]+)", r"\$\s*([\d.]+)")
+    return F.struct(low.alias("low"), high.alias("high"))
+
+
+def table_bounds(text: Column) -> Column:
+    """struct(low, high) of sums in free-form tables: signs may be missing; a k anywhere scales all numbers below a thousand."""
+    low, high = _stated(text, r"\$?([\d.]+)\s*[kK]?\s*(?:-|–|—|to)+\s*\$?([\d.]+)", r"(?i)up\s+to\s+\$?([\d.]+)", r"\$?([\d.]+)")
+    scaled = lambda v: F.when(F.contains(F.lower(text), F.lit("k")) & (v < 1000), v * 1000).otherwise(v)
+    return F.struct(scaled(low).alias("low"), scaled(high).alias("high"))

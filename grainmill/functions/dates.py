@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from datetime import date
 
 import pandas as pd
-import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DateType
@@ -13,10 +14,27 @@ from pyspark.sql.types import ArrayType, DateType
 from grainmill.functions.instants import parse_instant, utc_date
 
 ZONE = "America/Chicago"
-_LABEL = re.compile(r"(?i)\b(?:deadline|due date|due|closes?|closing date|apply by|submitted by|open through|accepted (?:until|through)|expires?)\b[^A-Za-z0-9]{0,3}(?:is|on|by|are|date)?")
-_CANDIDATE = re.compile(
-    r"(?i)\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+\d{1,2}(?:st|nd|rd|th)?,?\s+\d{4}\b|\b\d{1,2}\s+(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?,?\s+\d{4}\b|\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}/\d{1,2}/\d{2,4}\b"
+#: Notations of a date in prose, the first that gives one counts (fixed patterns).
+NOTATIONS = (r"[A-Z][a-z]{2,8}\.? \d{1,2},?\s*\d{4}", r"\d{1,2} [A-Z][a-z]{2,8},?\s*\d{4}", r"\d{1,2}/\d{1,2}/\d{2,4}", r"\d{4}-\d{2}-\d{2}", r"[A-Z][a-z]{2,8}\.?\s+\d{4}")
+#: Labels that stand before a deadline, then phrases that lead to one (fixed patterns).
+LABELS = r"(?:deadline|due date|closes?|closing date|expiration|expires?|submit by|applications? due|apply by)[:\s]*"
+PHRASES = (
+    r"applications?\s+(?:are\s+)?due\s+(?:by|on|:?\s*)\s*",
+    r"deadline\s+(?:is|to apply)\s+",
+    r"must\s+be\s+(?:submitted|received)\s+(?:by|before)\s+",
+    r"submit\s+(?:your\s+)?applications?\s+(?:by|before)\s+",
+    r"no\s+later\s+than\s+",
+    r"(?:closes?|closing)\s+(?:on\s+|date\s+)",
+    r"(?:open|available)\s+(?:through|until|till)\s+",
+    r"accepting\s+applications?\s+(?:through|until|till)\s+",
+    r"(?:apply|register)\s+(?:by|before)\s+",
 )
+#: Characters after a label or phrase in which its date may stand.
+REACH = 80
+_NOTATIONS = [re.compile(p, re.I) for p in NOTATIONS]
+_LEADS = [re.compile(p, re.I) for p in (LABELS, *PHRASES)]
+_MONTH = re.compile(r"(?i)^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(\d{4})$")
+_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
 def days_left(deadline: Column, as_of: Column) -> Column:
@@ -56,23 +74,64 @@ def short_deadline(deadline: Column, as_of: Column) -> Column:
     return F.when(deadline.isNull(), "No deadline").when(d < 0, F.concat(F.lit("Closed "), shown)).when(d <= 30, F.concat(d.cast("string"), F.lit("d left - "), shown)).otherwise(shown)
 
 
-def dates_in(text: str | None, first_year: int, last_year: int) -> list:
-    """The dates that a text names, in order, within the years."""
-    out = []
-    for m in _CANDIDATE.finditer(text or ""):
-        us = parse_instant(m[0])
-        if us is not None and first_year <= (d := utc_date(us)).year <= last_year:
-            out.append(d)
-    return out
+def _plain(text: str | None) -> str:
+    return re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", text or ""))
+
+
+def _day(written: str, first_year: int, last_year: int) -> date | None:
+    """The day that a written date means, a month alone its first; None outside the years."""
+    m = _MONTH.match(written.strip())
+    if m:
+        got = date(int(m[2]), _MONTHS.index(m[1].lower()) + 1, 1)
+    else:
+        us = parse_instant(re.sub(r"(?<=[A-Za-z])\.", "", written))
+        got = None if us is None else utc_date(us)
+    return got if got is not None and first_year <= got.year <= last_year else None
+
+
+def in_years(deadline: Column, as_of: Column) -> Column:
+    """A deadline whose year lies between the last one and ten years ahead, else null."""
+    return F.when((F.year(deadline) >= F.year(as_of) - 1) & (F.year(deadline) <= F.year(as_of) + 10), deadline)
+
+
+def needs_check(deadline: Column, candidates: Column, as_of: Column) -> Column:
+    """Whether a deadline should be looked at: none, one that has passed, or a date in the text more than a day off."""
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    off = F.exists(candidates, lambda d: F.abs(us(d) - us(deadline)) > 86_400_000_000)
+    return F.coalesce(deadline < as_of, F.lit(True)) | F.coalesce(off, F.lit(False))
+
+
+def open_ended(text: Column) -> Column:
+    """Whether a deadline in words leaves the date open."""
+    return F.coalesce(text.rlike(r"(?i)rolling|ongoing|year-round|open|varies|tbd|n/a"), F.lit(False))
+
+
+def written_day(text: Column, first_year: int = 2024) -> Column:
+    """The day of a deadline written alone, open-ended ones null; years before the first count as mistakes."""
+    t = F.trim(text)
+    ways = [F.try_to_timestamp(t, F.lit(f)) for f in ("MMMM d, yyyy", "MMM d, yyyy", "M/d/yyyy")]
+    iso = F.try_to_timestamp(F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2})", 1), F.lit("yyyy-MM-dd"))
+    day = F.coalesce(iso, *ways).cast("date")
+    return F.when(~open_ended(t) & (F.year(day) >= first_year), day)
+
+
+def dates_in(text: str | None, first_year: int, last_year: int) -> list[date]:
+    """The dates that a text names within the years, notation by notation."""
+    plain = _plain(text)
+    return [d for p in _NOTATIONS for m in p.finditer(plain) if (d := _day(m[0], first_year, last_year))]
+
+
+def first_date(text: str, first_year: int, last_year: int) -> date | None:
+    """The first hit of the first notation that means a day within the years."""
+    hits = (p.search(text) for p in _NOTATIONS)
+    return next((d for m in hits if m and (d := _day(m[0], first_year, last_year))), None)
 
 
-def deadline_in(text: str | None, first_year: int, last_year: int):
-    """The first date within 80 characters after a word for a deadline; None if there is none."""
-    for m in _LABEL.finditer(text or ""):
-        found = dates_in(text[m.end() : m.end() + 80], first_year, last_year)
-        if found:
-            return found[0]
-    return None
+def deadline_in(text: str | None, first_year: int, last_year: int) -> date | None:
+    """The date soon after a label, label by label; else after a phrase, phrase by phrase."""
+    plain = _plain(text)
+    near = (first_date(plain[m.end() : m.end() + REACH], first_year, last_year) for lead in _LEADS for m in lead.finditer(plain))
+    return next((d for d in near if d), None)
 
 
 def date_candidates(year: int):

@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 #: Elements whose text nobody reads, and those that begin a new line (fixed values).
 DROPPED = {"script", "style", "iframe", "noscript", "nav", "footer", "header", "svg"}
-BLOCKS = {"p", "div", "section", "article", "main", "aside", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "table", "tr", "td", "th", "blockquote", "pre", "hr", "dl", "dt", "dd", "form", "fieldset", "figure"}
+BLOCKS = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "blockquote"}
 _IS_HTML = re.compile(r"<[a-z][\s\S]*>", re.I)
 LINKS = ArrayType(StructType([StructField("url", StringType()), StructField("text", StringType())]))
 SECTIONS = ArrayType(StructType([StructField("heading", StringType()), StructField("body", StringType())]))
@@ -78,8 +78,12 @@ def tidy(text: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
-def text_of(html: str | None, most: int | None = None) -> str | None:
-    """The readable text of HTML; other texts with their white space collapsed."""
+#: Longest text kept of a page, unless asked otherwise.
+MOST = 2000
+
+
+def text_of(html: str | None, most: int | None = MOST) -> str | None:
+    """The readable text of HTML; other texts with their white space collapsed. At most `most` characters, all for None."""
     if html is None:
         return None
     text = tidy("".join(_read(html).out)) if _IS_HTML.search(html) else " ".join(html.split())

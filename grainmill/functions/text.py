@@ -34,23 +34,48 @@ def redacted(text: Column) -> Column:
     return F.regexp_replace(text, r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)", "[REDACTED-SSN]")
 
 
+#: What changes on a page without its content changing: dates, time stamps, form tokens (fixed patterns).
+VOLATILE = (r"\d{1,2}/\d{1,2}/\d{4}", r"\d{10,13}", r"""(?i)csrf[^"']*["'][^"']*["']""")
+#: Words that begin another field, so that a label's own value is missing (fixed values).
+OTHER_FIELDS = ("amount", "deadline", "eligibility", "apply", "award", "who can")
+#: Longest body of a mail link, and what then ends it (fixed values).
+MAIL_BODY, MAIL_MARK = 1800, "\n\n…(truncated — see attached export for full list)"
+
+
 def content_hash(text: Column) -> Column:
-    """sha256 of a text without dates, long numbers, tokens and extra space, so that only real changes show."""
-    s = F.regexp_replace(text, r"\d{1,2}/\d{1,2}/\d{2,4}", "")
-    s = F.regexp_replace(s, r"\b\d{10,13}\b", "")
-    s = F.regexp_replace(s, r"(?i)csrf[_-]?token[\"'=:\s]+[\w-]+", "")
-    return F.sha2(F.trim(F.regexp_replace(s, r"\s+", " ")), 256)
+    """sha256 of a text without what is volatile and with single spaces, so that only real changes show."""
+    for pattern in VOLATILE:
+        text = F.regexp_replace(text, pattern, "")
+    return F.sha2(F.trim(F.regexp_replace(text, r"\s+", " ")), 256)
 
 
 def labeled_field(text: Column, labels: list[str]) -> Column:
-    """What follows the first of the labels that begins a line, up to the line's end; null if none does."""
+    """What follows the first of the labels that begins a line and has a value of its own, up to the line's end; null if none does."""
     hits = []
     for name in labels:
-        got = F.regexp_extract(text, rf"(?im)^[ \t]*{name}[.:\s]+([^\n]{{3,150}})", 1)
-        hits.append(F.when(got != "", F.trim(got)))
+        got = F.trim(F.regexp_extract(text, rf"(?im)(?:^|\n)\s*{name}[.:\s]+([^\n]{{3,150}})", 1))
+        hits.append(F.when((got != "") & ~got.rlike(rf"(?i)^(?:{'|'.join(OTHER_FIELDS)})"), got))
     return F.coalesce(*hits)
 
 
+def unnumbered(title: Column) -> Column:
+    """A title without the number of a list before it."""
+    return F.trim(F.regexp_replace(title, r"^\d+\.\s*", ""))
+
+
+def mail_link(subject: Column, body: Column) -> Column:
+    """An address that opens a mail with a subject and a body, long bodies cut and marked; percent-encoded as RFC 3986 has it."""
+
+    def encoded(c: Column) -> Column:
+        c = F.url_encode(c)
+        for plain, code in (("%20", "\\+"), ("%2A", "\\*"), ("~", "%7E")):
+            c = F.regexp_replace(c, code, plain)
+        return c
+
+    short = F.when(F.length(body) > MAIL_BODY, F.concat(F.substring(body, 1, MAIL_BODY), F.lit(MAIL_MARK))).otherwise(body)
+    return F.concat(F.lit("mailto:?subject="), encoded(subject), F.lit("&body="), encoded(short))
+
+
 def any_phrase(text: Column, phrases: list[str]) -> Column:
     """Whether a text holds any of the phrases; one alternation, however many there are."""
     return F.lower(text).rlike("|".join(quoted(p.lower()) for p in phrases))

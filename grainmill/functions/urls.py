@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Sections that are no program page by themselves.
-GENERIC = ("about", "about-us", "contact", "contact-us", "home", "index", "grants", "funding", "programs", "resources", "business", "news", "blog", "events", "services", "apply")
+#: Sections that are no program page by themselves (fixed values).
+GENERIC = (
+    "about", "contact", "home", "index", "main", "welcome", "business", "programs", "grants", "funding", "resources",
+    "services", "help", "support", "faq", "blog", "news", "partners", "sponsors", "donate", "join", "membership",
+)
 #: Hosts that answer about the machine itself (fixed values).
-BLOCKED_HOSTS = ("localhost", "metadata.google.internal", "metadata")
+BLOCKED_HOSTS = ("169.254.169.254", "metadata.google.internal", "100.100.100.200")
 LONGEST = 2048
 _URL = r"^(?i)(https?)://(?:[^/?#@]*@)?(\[[0-9a-f:.]+\]|[^/?#:\[\]]+)(?::(\d+))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
@@ -32,10 +35,17 @@ def path_segments(url: Column) -> Column:
     return F.filter(F.split(part(url, "path"), "/"), lambda s: s != "")
 
 
-def is_generic_home(url: Column) -> Column:
+def is_generic_home(url: Column, sections: tuple[str, ...] = GENERIC) -> Column:
     """A root path, or one generic section alone; false for what is no address."""
     s = path_segments(url)
-    return F.coalesce((F.size(s) == 0) | ((F.size(s) == 1) & F.lower(F.element_at(s, 1)).isin(*GENERIC)), F.lit(False))
+    return F.coalesce((F.size(s) == 0) | ((F.size(s) == 1) & F.lower(F.try_element_at(s, F.lit(1))).isin(*sections)), F.lit(False))
+
+
+def sanitized(url: Column) -> Column:
+    """An http address with its scheme and host in lower case and a path; null for anything else."""
+    rest = F.regexp_extract(F.trim(url), r"^(?i)https?://[^/?#]*(.*)$", 1)
+    port = F.coalesce(F.concat(F.lit(":"), F.nullif(part(url, "port"), F.lit(""))), F.lit(""))
+    return F.when(part(url, "host").isNotNull(), F.concat(part(url, "scheme"), F.lit("://"), part(url, "host"), port, F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))))
 
 
 def is_private_host(host: Column) -> Column:

@@ -215,7 +215,11 @@ def days_left_label(spark, folder):
     return rows.select("id", dates.days_left(F.col("deadline"), as_of()).alias("days"), dates.urgency_label(F.col("deadline"), as_of()).alias("label"))
 
 
-@query()
+SHOWN_SQL = "strftime(timezone('America/Chicago', deadline AT TIME ZONE 'UTC'), '%b %-d, %Y')"
+DAYS_SQL = f"CAST(ceil((epoch_us(deadline) - epoch_us({NOW})) / 86400000000.0) AS BIGINT)"
+
+
+@query(over_listing(f"SELECT id, CASE WHEN deadline IS NULL THEN 'No deadline' WHEN {DAYS_SQL} < 0 THEN 'Closed ' || {SHOWN_SQL} WHEN {DAYS_SQL} <= 30 THEN {DAYS_SQL} || 'd left - ' || {SHOWN_SQL} ELSE {SHOWN_SQL} END AS shown FROM listing"))
 def short_deadline(spark, folder):
     return listing(spark, folder, amounts=False).select("id", dates.short_deadline(F.col("deadline"), as_of()).alias("shown"))
 
@@ -252,25 +256,10 @@ def _halves(spark, folder):
 
 
 HALVES_SQL = f""", snap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY seq) AS k FROM listing WHERE id % 2 = 0) WHERE k = 1),
-bat AS (SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN 'https://building.example.org/p/' || CAST(id % 400 - id % 2 AS VARCHAR) ELSE 'https://b.example.org/p/' || CAST(id % 700 AS VARCHAR) END AS source_url) FROM listing WHERE id % 2 = 1),
-fold AS (SELECT source_url, max_by(title, seq) AS title, max_by(status, seq) AS status, max_by(amount_max, seq) FILTER (amount_max IS NOT NULL) AS amount_max, max_by(deadline, seq) FILTER (deadline IS NOT NULL) AS deadline, min_by(id, seq) AS id, min(seq) AS seq FROM bat GROUP BY source_url),
-j AS (SELECT coalesce(s.source_url, f.source_url) AS source_url, coalesce(s.id, f.id) AS id, CASE WHEN f.source_url IS NULL THEN s.title ELSE f.title END AS title, CASE WHEN f.source_url IS NULL THEN s.status ELSE f.status END AS status, coalesce(f.amount_max, s.amount_max) AS amount_max, coalesce(f.deadline, s.deadline) AS deadline, f.seq AS seq,
-CASE WHEN f.source_url IS NULL THEN 'kept' WHEN s.source_url IS NULL THEN 'created' ELSE 'updated' END AS action FROM snap s FULL JOIN fold f ON s.source_url = f.source_url),
-m AS (SELECT * FROM j WHERE action <> 'created' UNION ALL SELECT j.* FROM j JOIN (SELECT lower(title) AS t, min(seq) AS q FROM j WHERE action = 'created' GROUP BY 1) x ON j.seq = x.q AND action = 'created' WHERE lower(title) NOT IN (SELECT lower(title) FROM snap))
+bat AS (SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN 'https://building.example.org/p/' || CAST(id % 400 - id % 2 AS VARCHAR) ELSE 'https://b.example.org/p/' || CAST(id % 700 AS VARCHAR) END AS source_url) FROM listing WHERE id % 2 = 1)
 """
 
 
-@query(over_listing(HALVES_SQL + "SELECT source_url, id, title, status, amount_max, strftime(deadline, '%Y-%m-%d %H:%M:%S') AS deadline, action FROM m"))
-def upsert_merge(spark, folder):
-    merged = upsert.merge_snapshot(*_halves(spark, folder))
-    return merged.select("source_url", "id", "title", "status", "amount_max", _stamp("deadline"), "action")
-
-
-@query(over_listing(HALVES_SQL + "SELECT action, count(*) AS n FROM m GROUP BY 1"))
-def upsert_new_vs_updated(spark, folder):
-    return upsert.merge_snapshot(*_halves(spark, folder)).groupBy("action").agg(F.count("*").alias("n"))
-
-
 @query(over_listing(HALVES_SQL + ", f AS (SELECT source_url, min(seq) AS q FROM bat GROUP BY 1) SELECT bat.id, CASE WHEN bat.source_url NOT IN (SELECT source_url FROM snap) AND bat.seq = f.q THEN 'created' ELSE 'duplicate' END AS outcome FROM bat JOIN f ON f.source_url = bat.source_url"))
 def bulk_insert_created_vs_duplicate(spark, folder):
     return upsert.bulk_insert(*_halves(spark, folder), "source_url", "seq").select("id", "outcome")
@@ -338,14 +327,12 @@ def elide_title(spark, folder):
     return table(spark, folder, "documents").select("doc_id", text.elided(F.col("title"), 40).alias("short"))
 
 
-@query()
-def redact_numbers(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.md5(text.redacted(F.col("text"))).alias("digest"))
+_SSN = r"regexp_replace({0}, '(^|\D)\d{{3}}-\d{{2}}-\d{{4}}(\D|$)', '\1[REDACTED-SSN]\2', 'g')"
 
 
-@query()
-def content_hash(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", text.content_hash(F.col("text")).alias("hash"))
+@query(f"SELECT doc_id, md5({_SSN.format(_SSN.format('text'))}) AS digest FROM documents")
+def redact_numbers(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", F.md5(text.redacted(F.col("text"))).alias("digest"))
 
 
 @query("SELECT grant_id, lower(regexp_extract(source_url, '^(?i)(https?)://([^/?#]+)([^?#]*)', 1)) AS scheme, lower(regexp_extract(source_url, '^(?i)(https?)://([^/?#]+)([^?#]*)', 2)) AS host, regexp_extract(source_url, '^(?i)(https?)://([^/?#]+)([^?#]*)', 3) AS path FROM grants")
@@ -359,25 +346,6 @@ def url_canonical(spark, folder):
     return table(spark, folder, "grants").select("grant_id", urls.canonical(F.col("source_url")).alias("canonical"))
 
 
-HOMES_SQL = ", ".join(f"'{g}'" for g in urls.GENERIC)
-
-
-@query(f"SELECT grant_id, (t = '' OR (NOT contains(t, '/') AND lower(t) IN ({HOMES_SQL}))) AS home FROM (SELECT grant_id, regexp_replace(regexp_extract(source_url, '^(?i)https?://[^/?#]+([^?#]*)', 1), '^/+|/+$', '', 'g') AS t FROM grants)")
-def generic_homepage(spark, folder):
-    return table(spark, folder, "grants").select("grant_id", urls.is_generic_home(F.col("source_url")).alias("home"))
-
-
-@query("SELECT grant_id, true AS safe, CAST(NULL AS VARCHAR) AS refused FROM grants WHERE regexp_matches(source_url, '^(?i)https?://[a-z0-9.-]+\\.example(/|$)')")
-def safe_url(spark, folder):
-    u = F.col("source_url")
-    return table(spark, folder, "grants").select("grant_id", urls.is_safe(u).alias("safe"), urls.refusal(u).alias("refused"))
-
-
-@query()
-def parse_amount(spark, folder):
-    return table(spark, folder, "grants").select("grant_id", amounts.amount_bounds(F.col("amount")).alias("b")).select("grant_id", "b.low", "b.high")
-
-
 @query("SELECT hit_row, CASE WHEN award_floor > 0 AND award_ceiling > 0 THEN format('${:,}', award_floor) || ' - ' || format('${:,}', award_ceiling) WHEN award_ceiling > 0 THEN 'Up to ' || format('${:,}', award_ceiling) WHEN estimated_funding > 0 THEN format('${:,}', estimated_funding) || ' (estimated total)' END AS award FROM grants_gov_hits")
 def award_text(spark, folder):
     return table(spark, folder, "grants_gov_hits").select("hit_row", amounts.award_text(F.col("award_floor"), F.col("award_ceiling"), F.col("estimated_funding")).alias("award"))
@@ -417,12 +385,6 @@ def categorize_first(spark, folder):
     return table(spark, folder, "documents").select("doc_id", rules.first_tag(F.col("text"), audience, "ANY").alias("audience"))
 
 
-@query("SELECT doc_id, (length(t) - length(replace(t, 'loan', ''))) // 4 AS loans, (length(t) - length(replace(t, 'grant', ''))) // 5 AS grants FROM " + DOCS_SQL)
-def word_counts(spark, folder):
-    low = F.lower(F.coalesce("text", F.lit("")))
-    return table(spark, folder, "documents").select("doc_id", F.regexp_count(low, F.lit("loan")).cast("bigint").alias("loans"), F.regexp_count(low, F.lit("grant")).cast("bigint").alias("grants"))
-
-
 def _pages(spark, folder):
     rows = table(spark, folder, "grants").where(F.col("raw_data").contains('"pageHtml"'))
     return rows.select("grant_id", "source_url", F.get_json_object("raw_data", "$.pageHtml").alias("page")).where("page is not null")
@@ -445,16 +407,6 @@ def heading_sections(spark, folder):
     return parts.select("grant_id", "pos", "x.heading", "x.body")
 
 
-@query("""WITH c AS (SELECT *, row_number() OVER (PARTITION BY article_page, title ORDER BY captured_at, raw_id) AS a, row_number() OVER (PARTITION BY article_page, title ORDER BY captured_at DESC, raw_id DESC) AS z FROM raw_grants WHERE article_page IS NOT NULL AND title IS NOT NULL)
-SELECT f.article_page, f.title, f.description IS DISTINCT FROM l.description AS changed FROM c f JOIN c l ON f.article_page = l.article_page AND f.title = l.title WHERE f.a = 1 AND l.z = 1""")
-def change_detect(spark, folder):
-    rows = table(spark, folder, "raw_grants").where("article_page is not null and title is not null")
-    rows = rows.withColumn("section", F.struct("article_page", "title"))
-    at = F.struct("captured_at", "raw_id")
-    both = rows.groupBy("section").agg(F.min_by(F.struct("description"), at).alias("a"), F.max_by(F.struct("description"), at).alias("z"))
-    return both.select("section.article_page", "section.title", (~F.col("a.description").eqNullSafe(F.col("z.description"))).alias("changed"))
-
-
 @query("SELECT notice_id, title FROM (SELECT *, row_number() OVER (PARTITION BY notice_id ORDER BY sam_row) AS k FROM sam_opportunities) WHERE k = 1 OR notice_id IS NULL")
 def source_notices(spark, folder):
     return adapters.notices(table(spark, folder, "sam_opportunities")).select(F.col("id").alias("notice_id"), "title")
@@ -465,12 +417,6 @@ def source_search_hits(spark, folder):
     return adapters.search_hits(table(spark, folder, "grants_gov_hits")).select(F.col("id").alias("opp_id"), "title", "status")
 
 
-@query()
-def source_sections(spark, folder):
-    rows = table(spark, folder, "raw_grants").withColumn("title_key", text.alnum_key(F.col("title")))
-    return upsert.two_key_dedupe(rows, "source_name", "apply_url", "title_key", "raw_id").select("raw_id", "source_name", "title")
-
-
 @query("SELECT 'notices' AS source, 'success' AS status, count(notice_id) AS found FROM sam_opportunities UNION ALL SELECT 'hits', 'success', count(opp_id) FROM grants_gov_hits UNION ALL SELECT 'feeds', 'error', 0")
 def source_union_log(spark, folder):
     parts = {"notices": table(spark, folder, "sam_opportunities").select(F.col("notice_id").alias("id")), "hits": table(spark, folder, "grants_gov_hits").select(F.col("opp_id").alias("id")), "feeds": None}
@@ -489,16 +435,6 @@ def latest_capture_per_url(spark, folder):
     return latest_capture(table(spark, folder, "grants").select("source_url", "grant_id", "last_verified", "seq"), "source_url", "last_verified", "seq").select("grant_id")
 
 
-@query()
-def rate_limit_fixed_window(spark, folder):
-    return limited(table(spark, folder, "events"), 86_400_000_000, 3)
-
-
-@query()
-def query_rotation(spark, folder):
-    return adapters.rotation(spark, [f"anchor {i}" for i in range(6)], [f"topic {i}" for i in range(60)], 16, 1_775_390_400)
-
-
 @query(over_listing("SELECT a.id, a.title FROM listing a WHERE a.source_name IN (SELECT s.n_name FROM nation s JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal > 9000)"))
 def existence_semi(spark, folder):
     rich = table(spark, folder, "supplier").where("s_acctbal > 9000").join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("source_name"))

@@ -48,3 +48,9 @@ def text_entries(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order))
     body = F.concat_ws("\n", F.concat(F.col("place").cast("string"), F.lit(". "), F.col("title")), F.concat(F.lit("   "), elided(F.col("description"))), F.concat(F.lit("   "), F.col("source_url")))
     return top.withColumn("place", place).select("place", body.alias("entry"))
+
+
+def options(rows: DataFrame, column: str, asked: str, most: int = 50) -> DataFrame:
+    """The first values, in order, that hold what was asked, whatever its case and outer spaces; all for nothing asked."""
+    wanted = asked.strip().lower()
+    return rows.where(F.contains(F.lower(column), F.lit(wanted))).select(column).distinct().orderBy(column).limit(most)

@@ -1,8 +1,10 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from grainmill.operators import aggregates, rules, upsert, windows
+from grainmill.operators import aggregates, records, rules, upsert, verdicts, windows
 from grainmill.operators.change import detect_changes
 from grainmill.operators.ordering import order_of, page_bounds
 from grainmill.operators.predicates import ListingQuery, multi, predicate, status_is, whole_number
@@ -55,35 +57,30 @@ def test_hot_key_meets_its_entry(spark):
 def sequential(snapshot, batch):
     """The rule of merge_snapshot, a row at a time."""
     stored = {r["source_url"]: dict(r, action="kept") for r in snapshot}
-    titles, fresh, first = {r["title"].lower() for r in snapshot}, {}, {}
     for r in sorted(batch, key=lambda r: r["seq"]):
-        if r["source_url"] in stored:
-            s = stored[r["source_url"]]
-            s.update(title=r["title"], status=r["status"], action="updated")
+        s = stored.get(r["source_url"])
+        if s is not None:
+            s.update(title=r["title"], status=r["status"], action="created" if s["action"] == "created" else "updated")
             s["amount_max"] = r["amount_max"] if r["amount_max"] is not None else s["amount_max"]
-        else:
-            f = fresh.setdefault(r["source_url"], dict(r, action="created"))
-            f.update(title=r["title"], status=r["status"])
-            f["amount_max"] = r["amount_max"] if r["amount_max"] is not None else f["amount_max"]
-            first.setdefault(r["source_url"], r["seq"])
-    out, taken = list(stored.values()), set(titles)
-    for u in sorted(fresh, key=first.get):
-        t = fresh[u]["title"].lower()
-        if t not in taken:
-            taken.add(t)
-            out.append(fresh[u])
-    return {(r["source_url"], r["title"], r["status"], r["amount_max"], r["action"]) for r in out}
+        elif len(r["title"]) <= 10 or r["title"].lower() not in {x["title"].lower() for x in stored.values()}:
+            stored[r["source_url"]] = dict(r, action="created")
+    return {(r["source_url"], r["title"], r["status"], r["amount_max"], r["action"]) for r in stored.values()}
 
 
 def test_merge_as_if_row_by_row(spark):
     rng = random.Random(4)
-    make = lambda i: {"source_url": f"u{rng.randint(0, 30)}", "title": f"Long enough title {rng.choice('abcdefgh')}{rng.randint(0, 3)}", "status": rng.choice(["OPEN", "CLOSED"]), "amount_max": rng.choice([None, i]), "seq": i, "id": i, "source_name": "s"}
+    make = lambda i: {"source_url": f"u{rng.randint(0, 30)}", "title": f"{rng.choice(['Long enough', 'LONG ENOUGH', 'Brief one'])} {rng.choice('abcdefgh')}", "status": rng.choice(["OPEN", "CLOSED"]), "amount_max": rng.choice([None, i]), "seq": i, "id": i, "source_name": "s"}
     snapshot = list({r["source_url"]: r for r in (make(i) for i in range(15))}.values())
     batch = [make(100 + i) for i in range(60)]
     schema = "source_url string, title string, status string, amount_max int, seq int, id int, source_name string"
     rows = lambda d: spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in d], schema)
     got = upsert.merge_snapshot(rows(snapshot), rows(batch), kept=("amount_max",), overwritten=("title", "status"))
     assert {(r.source_url, r.title, r.status, r.amount_max, r.action) for r in got.collect()} == sequential(snapshot, batch)
+    # "Small grant" has 11 letters and counts, "Smal grants" too, "Tiny grant" with 10 doesn't
+    names = [("u1", "Small grant"), ("u2", "SMALL GRANT"), ("u3", "Tiny grant"), ("u4", "TINY grant"), ("u1", "Other title here"), ("u5", "small grant"), (None, "Small grant")]
+    tiny = spark.createDataFrame([(u, t, i) for i, (u, t) in enumerate(names)], "source_url string, title string, seq int")
+    done = {r.seq: r.action for r in upsert.decided(tiny.limit(0), tiny).collect()}
+    assert done == {0: "created", 1: "skipped", 2: "created", 3: "created", 4: "updated", 5: "created", 6: "created"}
     again = upsert.merge_snapshot(rows(snapshot), rows([]), kept=("amount_max",), overwritten=("title", "status"))
     assert {r.action for r in again.collect()} == {"kept"}
 
@@ -93,6 +90,38 @@ def test_two_keys_are_recorded_on_keeping_only(spark):
     assert {r.o for r in upsert.two_key_dedupe(rows, "g", "u", "t", "o").collect()} == {1, 3, 5, 6}
 
 
+def test_two_keys_as_if_row_by_row(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("pq"), rng.choice([None, *(f"u{i}" for i in range(40))]), rng.choice([None, *(f"t{i}" for i in range(40))]), i) for i in range(200)]
+    seen, want = set(), set()
+    for g, u, t, o in rows:
+        keys = {(g, "u", u)} if u else set()
+        keys |= {(g, "t", t)} if t else set()
+        if not keys & seen:
+            seen |= keys
+            want.add(o)
+    assert {r.o for r in upsert.two_key_dedupe(spark.createDataFrame(rows, "g string, u string, t string, o int"), "g", "u", "t", "o").collect()} == want
+
+
+def test_records_change(spark):
+    rows = spark.createDataFrame([(1, "a", [" x "]), (2, "b", None)], "id int, who string, places array<string>")
+    patches = spark.createDataFrame([(1, ["who"], " ", ["z"]), (2, ["places"], "q", [" y ", "", None])], "id int, fields array<string>, who string, places array<string>")
+    assert [tuple(r) for r in records.patched(rows, patches, "id", ("who",), ("places",)).orderBy("id").collect()] == [(1, None, [" x "]), (2, "b", ["y"])]
+    assert records.removed(rows, [1], "id").count() == 1
+    for ids, sure in (([], True), (list(range(101)), True), (list(range(11)), False)):
+        with pytest.raises(ValueError):
+            records.removed(rows, ids, "id", sure)
+    raw = F.create_map(F.lit("liveBodyText"), F.lit("t"), F.lit("award"), F.lit("{}"))
+    got = spark.range(1).select(records.closed(raw, F.lit("m"), F.lit(404), F.lit("r"), F.lit("now")).alias("m")).first().m
+    assert set(got) == {"award", "closedReason"} and '"status":404' in got["closedReason"]
+
+
+def test_positions_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(verdicts, "RANGE_ROWS", 7)
+    got = verdicts.positioned(spark.range(50).select((F.col("id") * 3 % 50).alias("k")), "k").collect()
+    assert {r.k: r.position for r in got} == {i: i for i in range(50)}
+
+
 def test_maps_and_reconciliation(spark):
     row = spark.range(1).select(upsert.merged_maps(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), F.create_map(F.lit("b"), F.lit("3"))).alias("m")).first()
     assert row.m == {"a": "1", "b": "3"}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from grainmill.functions.instants import parse_instant
 from grainmill.operators.skew import join_dictionary
-from grainmill.runtime import broadcast_if_few, stage_path
+from grainmill.runtime import broadcast_if_few, shared_dir, stage, stage_path
 
 KEYS = ["gm_raw", "gm_zone", "gm_order"]
 ENTRY = "gm_raw string, gm_zone string, gm_order string, utc_us bigint"
@@ -26,33 +26,44 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.assign(utc_us=pd.array(got, dtype="Int64"))
 
 
+#: Changes whenever the parser gives another instant for a text, so that old entries are left behind.
+VERSION = 1
+
+
 class InstantDictionary:
     """Distinct written dates with their instants, kept as parquet batches under a path."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or stage_path(spark, "instants")
-        self.empty = path is None
+
+    @classmethod
+    def shared(cls, spark: SparkSession) -> InstantDictionary:
+        """The dictionary of the shared folder, which every run extends."""
+        return cls(spark, f"{shared_dir(spark)}/grainmill-instants-{VERSION}")
 
     def entries(self) -> DataFrame:
-        """All entries so far; utc_us is null for texts that denote no day or instant."""
-        return self.spark.read.schema(ENTRY).parquet(self.path)
+        """All entries so far, each key once; utc_us is null for texts that denote no day or instant."""
+        # two runs at once may both have parsed a key, and then alike
+        return self.spark.read.schema(ENTRY).parquet(self.path).groupBy(*KEYS).agg(F.min("utc_us").alias("utc_us"))
 
-    def extend(self, distinct: DataFrame) -> None:
-        """Parse the keys that are new and append them; one writer at a time.
+    def extend(self, distinct: DataFrame) -> int:
+        """Parse the keys that are new and append them; gives their number.
 
         A batch that fails leaves nothing behind, since parquet is committed as a whole;
         running it again parses the same keys.
         """
         new = distinct.select(*KEYS)
-        if not self.empty and self._exists():
-            new = new.join(self.entries().select(*KEYS), KEYS, "left_anti")
-        new.mapInPandas(_parse, ENTRY).write.mode("append").parquet(self.path)
-        self.empty = False
+        if self._exists():
+            new = stage(new.join(self.entries().select(*KEYS), KEYS, "left_anti"), "new-instants")
+        found = new.count()
+        if found or not self._exists():
+            new.mapInPandas(_parse, ENTRY).write.mode("append").parquet(self.path)
+        return found
 
     def _exists(self) -> bool:
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        done = jvm.org.apache.hadoop.fs.Path(self.path, "_SUCCESS")
+        return done.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done)
 
 
 def located(rows: DataFrame, raw: str, source: str, registry: DataFrame) -> DataFrame:
@@ -81,10 +92,7 @@ def normalise_instants(rows: DataFrame, dictionary: InstantDictionary | None = N
     """
     spark = rows.sparkSession
     dictionary = dictionary or InstantDictionary(spark)
-    counted = rows.groupBy(*KEYS).agg(F.count("*").alias("gm_n"))
-    path = stage_path(spark, "instant-keys")
-    counted.write.parquet(path)
-    counted = spark.read.parquet(path)
+    counted = stage(rows.groupBy(*KEYS).agg(F.count("*").alias("gm_n")), "instant-keys")
     dictionary.extend(counted)
     useful = counted.join(dictionary.entries().where(F.col("utc_us").isNotNull()), KEYS)
     return join_dictionary(rows, useful, KEYS, "gm_n").drop(*KEYS)

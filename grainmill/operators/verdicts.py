@@ -2,32 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.runtime import broadcast_if_few, stage
-
-#: Rows per range when positions are counted over a whole table.
-RANGE_ROWS = 100_000
-
-
-def positioned(rows: DataFrame, order: str) -> DataFrame:
-    """Add `position`, counting from 0 in the order of a unique column, over the whole table.
-
-    Ranges of the order are numbered apart and offset by the rows before them, so no task
-    holds more than a range.
-    """
-    ranges = max(1, rows.count() // RANGE_ROWS)
-    parts = stage(rows.repartitionByRange(ranges, order).withColumn("gm_part", F.spark_partition_id()), "positions")
-    sizes = parts.groupBy("gm_part").agg(F.count("*").alias("n"))
-    before = sizes.select("gm_part", (F.sum("n").over(Window.orderBy("gm_part")) - F.col("n")).alias("gm_before"))  # a row per range
-    place = F.row_number().over(Window.partitionBy("gm_part").orderBy(order)) - 1
-    return parts.withColumn("position", place).join(broadcast_if_few(before), "gm_part").withColumn("position", (F.col("position") + F.col("gm_before")).cast("bigint")).drop("gm_part", "gm_before")
-
+from grainmill.operators.windows import numbered
 
 def asked(rows: DataFrame, order: str, size: int, calls: int) -> DataFrame:
     """Rows with batch, index within the batch and `within`: whether the budget of calls reaches their batch."""
-    rows = positioned(rows, order)
+    rows = numbered(rows, [F.asc(order)], [])
     batch = F.floor(F.col("position") / size).cast("bigint")
     return rows.withColumns({"batch": batch, "index": (F.col("position") % size).cast("int"), "within": batch < calls}).drop("position")
 

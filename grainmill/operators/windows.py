@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainmill.runtime import broadcast_if_few
+from grainmill.runtime import broadcast_if_few, stage
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -51,7 +51,29 @@ def nearest_of_kind(rows: DataFrame, kind: str, order: list[Column], most: int =
     return met.select(key, F.posexplode(others).alias("gm_pos", "x")).select(key, (F.col("gm_pos") + 1).alias("place"), "x.other")
 
 
+#: Rows per range when positions are counted over a whole table.
+RANGE_ROWS = 100_000
+
+
+def numbered(rows: DataFrame, order: list[Column], per: list[str], column: str = "position") -> DataFrame:
+    """Add the position of each row within its group of `per`, counting from 0, in a total order.
+
+    Ranges of the order are numbered apart and offset by the rows of the group before them, so
+    a group that holds all rows is numbered by as many tasks as it has ranges.
+    """
+    ranges = max(1, rows.count() // RANGE_ROWS)
+    parts = stage(rows.repartitionByRange(ranges, *[F.col(c) for c in per], *order).withColumn("gm_part", F.spark_partition_id()), "numbered")
+    sizes = parts.groupBy("gm_part", *per).agg(F.count("*").alias("gm_n"))
+    before = F.sum("gm_n").over(Window.partitionBy(*per).orderBy("gm_part")) - F.col("gm_n")  # a row per range and group
+    sizes = sizes.select(*[F.col(c).alias(f"gm_{c}") for c in per], F.col("gm_part").alias("gm_p"), before.alias("gm_before"))
+    place = F.row_number().over(Window.partitionBy("gm_part", *per).orderBy(*order)) - 1
+    same = F.col("gm_part") == F.col("gm_p")
+    for c in per:
+        same = same & F.col(c).eqNullSafe(F.col(f"gm_{c}"))
+    out = parts.withColumn(column, place).join(broadcast_if_few(sizes), same)
+    return out.withColumn(column, (F.col(column) + F.col("gm_before")).cast("bigint")).select(*rows.columns, column)
+
+
 def batches(rows: DataFrame, order: list[Column], size: int, per: list[str]) -> DataFrame:
-    """Add `batch`, counting from 0 every `size` rows within each group of `per`."""
-    place = F.row_number().over(Window.partitionBy(*per).orderBy(*order))
-    return rows.withColumn("batch", F.floor((place - 1) / size).cast("bigint"))
+    """Add `batch`, counting from 0 every `size` rows within each group of `per`, in a total order."""
+    return numbered(rows, order, per, "gm_place").withColumn("batch", F.floor(F.col("gm_place") / size).cast("bigint")).drop("gm_place")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.operators.instants import DATED, dated_records, normalise_instants
+from grainmill.operators.instants import DATED, InstantDictionary, dated_records, normalise_instants
 from grainmill.operators.units import unit_solutions, wrong_bounds
 from grainmill.runtime import table
 
@@ -14,7 +14,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every deadline of the four tables that denotes a day or an instant, in UTC."""
     tables = {name: table(spark, folder, name) for name, *_ in DATED}
     rows = dated_records(tables, table(spark, folder, "source_registry"))
-    return normalise_instants(rows).select("record_table", "record_id", "utc_us")
+    return normalise_instants(rows, InstantDictionary.shared(spark)).select("record_table", "record_id", "utc_us")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -53,6 +53,15 @@ def listing(spark: SparkSession, folder: str, amounts: bool = True, industries:
     return rows
 
 
+def with_amounts(spark: SparkSession, folder: str, page: DataFrame, order: list[Column]) -> DataFrame:
+    """A page of the listing with its sums; only the line items of its rows, at most a hundred, are read."""
+    rows = page.collect()
+    few = spark.createDataFrame(rows, page.schema)
+    lines = table(spark, folder, "lineitem").where(F.col("l_orderkey").isin([r.id for r in rows]))
+    sums = lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.floor(F.min("l_extendedprice")).cast("bigint").alias("amount_min"), F.floor(F.max("l_extendedprice")).cast("bigint").alias("amount_max"))
+    return few.join(sums, "id", "left").orderBy(*order)
+
+
 def _case(column: Column, known: dict, other: str) -> Column:
     out = None
     for k, v in known.items():

@@ -12,7 +12,7 @@ from grainmill.operators import aggregates, predicates, rules, upsert, windows
 from grainmill.operators.change import latest_capture
 from grainmill.operators.ordering import decision_order, order_of, page_of
 from grainmill.operators.predicates import ListingQuery, display_status, listed
-from grainmill.plans.listing import AS_OF, as_of, expenses, listing
+from grainmill.plans.listing import AS_OF, as_of, expenses, listing, with_amounts
 from grainmill.runtime import table
 from grainmill.sources import adapters, exports
 from grainmill.streaming.limiter import limited
@@ -63,7 +63,11 @@ def _list_sql(order: str, n: int = 20, skip: int = 0) -> str:
 
 
 def _list(spark, folder, sort, page=None, limit=None, direction=None) -> DataFrame:
-    rows = page_of(listing(spark, folder), order_of(sort, direction), page, limit)
+    order = order_of(sort, direction)
+    if sort == "amount":
+        rows = page_of(listing(spark, folder), order, page, limit)
+    else:
+        rows = with_amounts(spark, folder, page_of(listing(spark, folder, amounts=False), order, page, limit), order)
     return rows.select("id", "title", "status", _stamp("deadline"), "amount_max", display_status(as_of()).alias("display_status"))
 
 
@@ -441,7 +445,10 @@ def existence_semi(spark, folder):
     return listing(spark, folder, amounts=False).join(rich.distinct(), "source_name", "left_semi").select("id", "title")
 
 
-@query()
+_ENTRY = "(CAST(row_number() OVER w AS VARCHAR) || '. ' || title) || chr(10) || '   ' || CASE WHEN length(description) > 120 THEN left(description, 117) || '...' ELSE description END || chr(10) || '   ' || source_url"
+
+
+@query(over_listing(f"SELECT CAST(row_number() OVER w AS INTEGER) AS place, {_ENTRY} AS entry FROM listing WINDOW w AS (ORDER BY CASE status WHEN 'OPEN' THEN 0 WHEN 'FORECASTED' THEN 1 WHEN 'CLOSED' THEN 2 ELSE 3 END, deadline ASC NULLS LAST, id) ORDER BY place LIMIT 100"))
 def text_export(spark, folder):
     return exports.text_entries(listing(spark, folder, amounts=False), decision_order(), 100)
 

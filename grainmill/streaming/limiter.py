@@ -50,13 +50,13 @@ def limited(events: DataFrame, window_us: int, most: int) -> DataFrame:
 
 
 class WindowCounter(StatefulProcessor):
-    """The same count as stream state: start and count per key, forgotten some time after the window's end."""
+    """The same count as stream state: start and count per key, forgotten when a key has not been seen for so long."""
 
-    def __init__(self, window_us: int, most: int):
-        self.window_us, self.most = window_us, most
+    def __init__(self, window_us: int, most: int, keep_ms: int):
+        self.window_us, self.most, self.keep_ms = window_us, most, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", StructType([StructField("start", LongType()), StructField("count", LongType())]))
+        self.state = handle.getValueState("window", StructType([StructField("start", LongType()), StructField("count", LongType())]), self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         start, count = self.state.get() if self.state.exists() else (None, 0)
@@ -76,7 +76,12 @@ class WindowCounter(StatefulProcessor):
         pass
 
 
-def limit_stream(events: DataFrame, window_us: int, most: int) -> DataFrame:
-    """Decisions for a stream of events; hits count in the order of their micro-batches."""
+def limit_stream(events: DataFrame, window_us: int, most: int, keep_ms: int | None = None) -> DataFrame:
+    """Decisions for a stream of events; hits count in the order of their micro-batches.
+
+    The state of a key that no hit came for during `keep_ms`, twice the window unless given, is
+    dropped, so the state holds the keys of late only.
+    """
+    keep_ms = max(1, 2 * window_us // 1000) if keep_ms is None else keep_ms
     rows = events.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return rows.groupBy("user_id").transformWithStateInPandas(statefulProcessor=WindowCounter(window_us, most), outputStructType=DECISION, outputMode="Append", timeMode="None")
+    return rows.groupBy("user_id").transformWithStateInPandas(statefulProcessor=WindowCounter(window_us, most, keep_ms), outputStructType=DECISION, outputMode="Append", timeMode="ProcessingTime")

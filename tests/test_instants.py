@@ -52,3 +52,14 @@ def test_dictionary_grows_and_rows_keep_their_place(spark):
     normalise_instants(located(rows.limit(3), "utc_us_text", "src", registry), book).collect()
     assert book.entries().count() == before
     assert normalise_instants(located(rows.limit(0), "utc_us_text", "src", registry)).count() == 0
+
+
+def test_a_second_run_parses_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([("2026-01-02", "UTC", "MDY"), ("Fall", "UTC", "MDY"), ("2026-01-02", "UTC", "DMY")], "gm_raw string, gm_zone string, gm_order string")
+    path = str(tmp_path / "book")
+    assert InstantDictionary(spark, path).extend(rows) == 3
+    assert InstantDictionary(spark, path).extend(rows) == 0
+    more = rows.unionByName(spark.createDataFrame([("5 May 2026", "UTC", "MDY")], rows.schema))
+    book = InstantDictionary(spark, path)
+    assert book.extend(more) == 1 and book.entries().count() == 4
+    assert InstantDictionary.shared(spark).path == InstantDictionary.shared(spark).path

@@ -4,7 +4,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from grainmill.operators import aggregates, records, rules, upsert, verdicts, windows
+from grainmill.operators import aggregates, records, rules, upsert, windows
 from grainmill.operators.change import detect_changes
 from grainmill.operators.ordering import order_of, page_bounds
 from grainmill.operators.predicates import ListingQuery, multi, predicate, status_is, whole_number
@@ -117,9 +117,13 @@ def test_records_change(spark):
 
 
 def test_positions_over_ranges(spark, monkeypatch):
-    monkeypatch.setattr(verdicts, "RANGE_ROWS", 7)
-    got = verdicts.positioned(spark.range(50).select((F.col("id") * 3 % 50).alias("k")), "k").collect()
-    assert {r.k: r.position for r in got} == {i: i for i in range(50)}
+    monkeypatch.setattr(windows, "RANGE_ROWS", 7)
+    rows = spark.range(50).select((F.col("id") * 3 % 50).alias("k"), F.when(F.col("id") % 5 != 0, "hot").alias("g"))
+    assert {r.k: r.position for r in windows.numbered(rows, [F.asc("k")], []).collect()} == {i: i for i in range(50)}
+    got = windows.batches(rows, [F.asc("k")], 4, ["g"]).collect()
+    for g in ("hot", None):
+        mine = sorted(((r.k, r.batch) for r in got if r.g == g))
+        assert [b for _, b in mine] == [i // 4 for i in range(len(mine))] and mine
 
 
 def test_maps_and_reconciliation(spark):

@@ -24,8 +24,8 @@ from grainmill.runtime import broadcast_if_few
 WINDOW = 12
 #: The least piece as a share of the room for new tokens.
 LEAST = 0.25
-#: Most tokens of one letter, and the smallest limit that leaves room for an overlap and a letter.
-LETTER, SMALLEST = 4, 16
+#: Most tokens of one letter, which is never split; so no limit below that can be kept.
+LETTER = 4
 #: A part of fewer pieces is counted as a whole.
 NEAR = 16
 _ENDS = regex.compile(r"[.!?…。！？][\"'”’)\]]*$")
@@ -123,9 +123,10 @@ def split_text(enc: Encoder, text: str, limit: int, overlap: int) -> list[tuple[
     A text within the limit is one piece. No piece has more than `limit` tokens, neither as
     part of the whole encoding nor encoded by itself; each but the first begins `overlap`
     tokens before the end of the one before (a few more where that falls within a letter).
-    An overlap too large for the limit is cut to half of it; limits below SMALLEST count as that.
+    An overlap too large for the limit is cut to half of it; limits below LETTER count as that,
+    since one letter may take so many tokens.
     """
-    limit = max(SMALLEST, limit)
+    limit = max(LETTER, limit)
     overlap = max(0, min(overlap, limit // 2))
     pieces = enc.split(text)
     packed = [enc.cache[p] for p in pieces]
@@ -160,11 +161,13 @@ def split_text(enc: Encoder, text: str, limit: int, overlap: int) -> list[tuple[
     stops.reverse()
     while stops:
         stop, before = stops.pop(), out[-1][1] if out else 0
+        if stop <= before:  # a cut within a letter fell back to its beginning
+            continue
         start = _whole_letter(enc, ids, max(0, before - overlap), True) if out else 0
         while (n := by_itself(start, stop)) > limit and start < before:
             start = _whole_letter(enc, ids, min(before, start + 1), False)
-        if n > limit and stop - before > LETTER:  # alone it counts more than within the text: cut earlier
-            stops += [stop, _whole_letter(enc, ids, stop - 1, True)]
+        if n > limit and (earlier := _whole_letter(enc, ids, stop - 1, True)) > before:  # alone it counts more than within the text: cut earlier
+            stops += [stop, earlier]
             continue
         out.append((start, stop, n, before - start, data[width[start] : width[stop]].decode("utf-8", "surrogatepass")))
     return out

@@ -51,7 +51,7 @@ def pieces_hold(encoder, text, limit, overlap):
 
 def test_pieces_stay_under_the_limit(encoder):
     @settings(max_examples=150, deadline=None)
-    @given(st.lists(TEXT, min_size=1, max_size=12), st.integers(16, 40), st.integers(0, 24))
+    @given(st.lists(TEXT, min_size=1, max_size=12), st.integers(4, 40), st.integers(0, 24))
     def check(texts, limit, overlap):
         text = "\n\n".join(texts)
         if text:
@@ -60,6 +60,7 @@ def test_pieces_stay_under_the_limit(encoder):
     check()
     for text in ("x" * 20_000, "🙂" * 500, "One sentence. " * 400, "\n" * 400):
         pieces_hold(encoder, text, 64, 8)
+        pieces_hold(encoder, text, 8, 3)
 
 
 def test_cuts_fall_where_the_text_pauses(encoder):

@@ -40,14 +40,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/grainmill/{name}-{uuid.uuid4().hex}"
+    """A fresh path among the staged tables of this application."""
+    return f"{staged_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def staged_dir(spark: SparkSession) -> str:
+    """Where this application stages its tables."""
+    return f"{shared_dir(spark)}/grainmill/{spark.sparkContext.applicationId}"
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Remove all tables that this application staged; to be called once its results are written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(staged_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write a result to the shared folder and read it back.
 
-    The lineage ends there, so a lost executor costs only its running tasks.
+    The lineage ends there, so a lost executor costs only its running tasks. The tables lie under
+    one folder per application, which clear_staged removes.
     """
     spark, path = df.sparkSession, stage_path(df.sparkSession, name)
     schema = df.schema
@@ -66,8 +78,3 @@ def few(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
 def broadcast_if_few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a side for broadcast after counting that it is small; else leave it to the planner."""
     return F.broadcast(df) if few(df, most) else df
-
-
-def with_columns_present(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Add the named columns that a table lacks as typed nulls."""
-    return df.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in df.columns})

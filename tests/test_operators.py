@@ -9,6 +9,7 @@ from grainmill.operators.change import detect_changes
 from grainmill.operators.ordering import order_of, page_bounds
 from grainmill.operators.predicates import ListingQuery, multi, predicate, status_is, whole_number
 from grainmill.operators.skew import join_dictionary
+from grainmill.runtime import clear_staged, stage, staged_dir
 from grainmill.sources import adapters
 from grainmill.streaming.limiter import limited, step
 
@@ -116,6 +117,14 @@ def test_records_change(spark):
     assert set(got) == {"award", "closedReason"} and '"status":404' in got["closedReason"]
 
 
+def test_staged_tables_can_be_cleared(spark):
+    import os
+
+    assert stage(spark.range(3), "three").count() == 3 and os.listdir(staged_dir(spark).removeprefix("file:"))
+    clear_staged(spark)
+    assert not os.path.exists(staged_dir(spark).removeprefix("file:"))
+
+
 def test_positions_over_ranges(spark, monkeypatch):
     monkeypatch.setattr(windows, "RANGE_ROWS", 7)
     rows = spark.range(50).select((F.col("id") * 3 % 50).alias("k"), F.when(F.col("id") % 5 != 0, "hot").alias("g"))

@@ -11,7 +11,7 @@ from grainmill.llm.encode import encode_documents
 from grainmill.llm.mixture import mix, share_report, sized
 from grainmill.llm.pages import page_texts
 from grainmill.llm.residue import find_residue, validation
-from grainmill.llm.survivors import best_records
+from grainmill.llm.survivors import best_records, grouped
 from grainmill.llm.truncation import cut_rates, cut_reasons, find_cut
 from grainmill.runtime import table
 
@@ -55,6 +55,11 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return best_records(table(spark, folder, "grants"), table(spark, folder, "source_registry")).select("group_id", "field", "grant_id")
 
 
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of each program that was captured more than once."""
+    return grouped(table(spark, folder, "grants").select("grant_id", "title", "source_url")).select("group_id", "grant_id")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """The places and trades that free entries mean."""
     lists = {field: table(spark, folder, ref) for field, ref, *_ in LISTS}
@@ -86,4 +91,4 @@ def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict:
     """Name -> callable of this module's queries."""
-    return {f.__name__: f for f in (p1_found, p1_validation, p3_found, p3_rates, p3_reasons, p4_found, p5_found, p6_found, p8_ids, p9_mix, p9_shares, p10_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_validation, p3_found, p3_rates, p3_reasons, p4_found, p5_found, p5_groups, p6_found, p8_ids, p9_mix, p9_shares, p10_pieces)}

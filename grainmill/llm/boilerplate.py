@@ -109,14 +109,19 @@ class PathModel:
             sizes = [_sizes(lines[i]) for i in at]
             overall = sum(float(self.levels[path_slot(lines[i].path)]) for i in at) / len(at)
             within = math.log(ratio(len(at), *map(sum, zip(*sizes))) / self.mean)
-            head = bool(own) and any(title_key(lines[i].text).startswith(own) for i in at)
+            head = bool(own) and any(k.startswith(own) for k in _keys([lines[i] for i in at], own))
             out.append((at, OVERALL * overall + WITHIN * within + HEADLINE * head - CONTENT))
         return out
 
 
+def _keys(lines: list[Line], own: str) -> list[str]:
+    """The title_key of each line; nothing for lines too short to hold the headline's."""
+    return [title_key(x.text) if len(x.text) >= len(own) else "" for x in lines]
+
+
 def line_shapes(lines: list[Line], own: str) -> list[tuple[str, ...]]:
     """Features of each line beside its words: its size and how it stands to the headline."""
-    keys = [title_key(x.text) for x in lines] if own else []
+    keys = _keys(lines, own) if own else []
     heads = [i for i, k in enumerate(keys) if k == own]
     out = []
     for i, x in enumerate(lines):
@@ -151,7 +156,7 @@ class LineModel:
         if len(lines) < 2:
             return []
         own = title_key(title)
-        own_line = [bool(own) and title_key(x.text) == own for x in lines]
+        own_line = [bool(own) and k == own for k in _keys(lines, own)]
         hit = self.by_paths(lines, own) if kind == "html" else self.by_lines(lines, own, own_line)
         body = [i for i, x in enumerate(hit) if not x and not own_line[i]]
         return [lines[i].number for i, x in enumerate(hit) if x and not own_line[i]] if body else []

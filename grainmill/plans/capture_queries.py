@@ -11,7 +11,7 @@ from grainmill.functions import amounts, dates, text, urls
 from grainmill.operators import change, ledger, liveness, records, upsert, verdicts
 from grainmill.plans.listing import AS_OF, as_of
 from grainmill.runtime import table
-from grainmill.sources import adapters, exports
+from grainmill.sources import adapters, articles, exports
 from grainmill.streaming.limiter import limited
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -487,6 +487,29 @@ def feed_items(spark, folder):
     return adapters.feed_items(feeds, F.expr("TIMESTAMP_NTZ '2026-03-01 00:00:00'"), 10, 90).select("feed", "title")
 
 
+def _pages(spark, folder):
+    rows = table(spark, folder, "grants").where(F.col("raw_data").contains('"pageHtml"'))
+    return rows.select("grant_id", "source_url", F.get_json_object("raw_data", "$.pageHtml").alias("page")).where("page is not null")
+
+
+@query()
+def harvested_links(spark, folder):
+    return articles.harvested(_pages(spark, folder), "grant_id", "page", "source_url", ["grant", "fund", "program", "/p"], ["privacy", "sitemap"], 1, 10)
+
+
+@query()
+def article_sections(spark, folder):
+    pages = _pages(spark, folder).withColumn("page", F.regexp_replace("page", r"<(p|div)>([^<>]{5,60})</\1>", "<h3>$2</h3>"))
+    return articles.sections(pages, "grant_id", "page")
+
+
+@query("SELECT sam_row, CASE WHEN regexp_full_match(t, '\\d{4}-\\d{2}-\\d{2}') AND try_strptime(t, '%Y-%m-%d') < " + AT_SQL + " THEN 'CLOSED' ELSE 'OPEN' END AS status FROM (SELECT sam_row, trim(response_dead_line) AS t FROM (SELECT *, row_number() OVER (PARTITION BY notice_id ORDER BY sam_row) AS k FROM sam_opportunities) WHERE k = 1 OR notice_id IS NULL)")
+def notice_status(spark, folder):
+    rows = adapters.notices(table(spark, folder, "sam_opportunities"))
+    day = F.try_to_timestamp(F.regexp_extract(F.trim("deadline"), r"^(\d{4}-\d{2}-\d{2})$", 1), F.lit("yyyy-MM-dd"))
+    return rows.select(F.col("seq").alias("sam_row"), adapters.notice_status(day, _at().cast("timestamp")).alias("status"))
+
+
 # ---- small ones
 
 

@@ -25,6 +25,11 @@ def notices(rows: DataFrame) -> DataFrame:
     )
 
 
+def notice_status(deadline: Column, as_of: Column) -> Column:
+    """CLOSED once the deadline has passed; without one a notice is open."""
+    return F.when(F.coalesce(deadline < as_of, F.lit(False)), "CLOSED").otherwise("OPEN")
+
+
 def search_hits(rows: DataFrame) -> DataFrame:
     """Search hits: the first of each opportunity, with the award in words and who may apply."""
     first = first_wins(rows, ["opp_id"], "hit_row")

@@ -41,6 +41,14 @@ def test_classifier_learns_and_repeats():
     assert abs(fit([], [], 2).probabilities(["x"])[0] - 0.5) < 1e-6
 
 
+@pytest.mark.parametrize("text", ["Service Unavailable", "Welcome to {{name}}, a program for growers.", "lorem ipsum " * 30, "You need to enable JavaScript to run this page."])
+def test_phrases_decide_nothing_without_the_classifier(text):
+    from grainmill.llm.residue import ResidueModel
+
+    assert weak_label(text, "Harbor Fund", "text") in (1, 2)
+    assert not ResidueModel(fit([], [], 3)).is_case(text, "Harbor Fund", "text")
+
+
 def test_unseen_hosts(spark):
     rows = {r.kind_of_case: r for r in validation(page_texts(table(spark, DATA, "grants"))).collect()}
     assert set(rows) == {"residue", "void", "any"} and rows["any"].texts > 50

@@ -237,8 +237,8 @@ def cut_descriptions(texts: DataFrame, residue: ResidueModel) -> DataFrame:
     """All texts that are not blank with `cut`, whether they stop before they end, and `reason`: what told it.
 
     "spike": at a length where the texts of the source pile up, without terminal punctuation, or
-    with a sentence that hardly ever ends a paragraph. "mark": a mark of the cutting stands at
-    the end. "ending": the last words go on elsewhere and don't stand alone, or the last word is
+    with a sentence that hardly ever ends a paragraph, or with a mark of the cutting. "mark":
+    such a mark stands at the end at any other length. "ending": the last words go on elsewhere and don't stand alone, or the last word is
     torn; transfers that broke off leave no spike. Null where the text is whole.
 
     Cases of residue are not cut; only texts that would be are asked. Rows of a source that is
@@ -267,11 +267,12 @@ def cut_descriptions(texts: DataFrame, residue: ResidueModel) -> DataFrame:
     closing = (F.col("open") >= WHOLE_TIMES) & (F.col("goes_on") < 1)
     torn = (F.col("word") != "") & (F.col("uses") < 1) & ~F.col("is_title") & ~closing
     # spikes first: there the lack of terminal punctuation decides; what the histograms can't see comes after
+    marked = F.when(F.col("spike"), F.lit("spike")).otherwise(F.lit("mark"))
     reason = (
         F.when(F.col("spike") & ~F.col("ended") & ~F.col("is_title") & (F.col("mark") == 0), F.lit("spike"))
         .when(F.col("spike") & F.col("ended") & (F.col("mark") == 0), F.when((F.col("whole") >= 20) & (F.col("last") < LAST_SHARE * F.col("whole")), F.lit("spike")))
-        .when(F.col("mark") == 2, F.lit("mark"))
-        .when(F.col("mark") == 1, F.when(~alone | F.col("ended") | torn, F.lit("mark")))
+        .when(F.col("mark") == 2, marked)
+        .when(F.col("mark") == 1, F.when(~alone | F.col("ended") | torn, marked))
         .when(~F.col("ended") & ~F.col("is_title"), F.when(~whole | torn, F.lit("ending")))
     )
     found = stage(ends.withColumn("reason", reason), "found")
